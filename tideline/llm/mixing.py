@@ -3,7 +3,7 @@
 Sizes (words) are summed by source; sources in code-point order, null last, weigh 3, 1, 2, repeating,
 and share ``share`` times all words, none above ``most`` times its own, the excess going to the others
 by weight. That fixed point is ``least(most * size, level * weight)`` for the one level at which the
-targets sum to the share, found by a running sum over the source table. A document of a source of rate
+targets sum to the share, found by running sums over the source table. A document of a source of rate
 ``target / size`` is taken floor(rate) times, and once more if a hash of its id and the seed, read
 as a number from 0 to 1, is under the fraction: an independent Bernoulli draw that reruns repeat.
 
@@ -45,8 +45,9 @@ def targets(sized: DataFrame, share: float = SHARE, most: float = MOST) -> DataF
     rise = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     by = by.withColumn("caps_before", F.sum("cap").over(rise) - F.col("cap")).withColumn("weight_left", F.sum("weight").over(total) - F.sum("weight").over(rise) + F.col("weight"))
     by = by.withColumn("level_here", (F.lit(share) * F.col("all_size") - F.col("caps_before")) / F.col("weight_left"))
-    level = F.min(F.when(F.col("level_here") * F.col("weight") <= F.col("cap"), F.col("level_here"))).over(total)
-    by = by.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))))
+    # Taking too few or too many of the caps as binding gives a lower level: the level is the highest of these.
+    level = F.max("level_here").over(total)
+    by = by.withColumn("target", F.least("cap", level * F.col("weight")))
     return by.select("source", "source_size", "target", F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("rate"))
 
 
@@ -68,12 +69,11 @@ def copies_of(sized: DataFrame, by: DataFrame, seed: str = SEED) -> DataFrame:
 def copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns."""
     names = docs.columns
-    sized = docs.withColumn("__size", size_of(docs["text"]))
-    by = targets(sized.select("source", F.col("__size").alias("size"))).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = sized.join(by, sized["source"].eqNullSafe(by["__source"]), "left")
+    by = targets(docs.select("source", size_of(docs["text"]).alias("size"))).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    joined = docs.join(by, F.col("source").eqNullSafe(F.col("__source")), "left")
     whole = F.floor("__rate")
     n = (whole + F.when(draw(F.col("doc_id"), seed) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n))).select(*names)
+    return joined.withColumn("__copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*names)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, ([3.0, 1.0, 2.0]::DOUBLE[])[((
 r AS (SELECT *, sum(cap) OVER o - cap AS caps_before, sum(weight) OVER () - sum(weight) OVER o + weight AS weight_left FROM w
       WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, (1.5::DOUBLE * all_size - caps_before) / weight_left AS level_here FROM r),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level_here * weight <= cap THEN level_here END) OVER () * weight, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, max(level_here) OVER () * weight) AS target FROM l),
 x AS (SELECT doc_id, size, source_size, target, coalesce(target / nullif(source_size::DOUBLE, 0), 0) AS rate,
       CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
