@@ -1,0 +1,13 @@
+"""Session builder with the settings the engine relies on."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(app: str = "tideline", **conf: str) -> SparkSession:
+    """UTC, adaptive execution with skew handling; the master and memory are the caller's."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
