@@ -43,11 +43,12 @@ def forward_backward(logb: np.ndarray, pi: np.ndarray, p: np.ndarray):
         alpha[t] = a
     beta = np.empty_like(alpha)
     beta[-1] = 1.0
-    xi = np.zeros_like(p)
+    scaled, back = bt / scale[:, :, None], np.ascontiguousarray(np.swapaxes(p, 1, 2))
+    b = beta[-1]
     for t in range(t_max - 2, -1, -1):
-        ahead = bt[t + 1] * beta[t + 1] / scale[t + 1][:, None]
-        xi += alpha[t][:, :, None] * ahead[:, None, :]
-        beta[t] = np.matmul(p, ahead[:, :, None])[:, :, 0]
+        b = np.matmul((b * scaled[t + 1])[:, None], back)[:, 0]
+        beta[t] = b
+    xi = np.einsum("tsi,tsj->sij", alpha[:-1], scaled[1:] * beta[1:])
     gamma = alpha * beta
     gamma /= gamma.sum(axis=2, keepdims=True)
     loglik = np.log(scale).sum(axis=0) + top.sum(axis=1)

@@ -18,6 +18,8 @@ from ..kernels import garch, hmm
 from .align import expanding_windows
 
 FEATURES = ("mkt_log_return", "realized_vol_21d", "log_vix_lag1", "yield_slope_lag1")
+#: Partitions over which the fits of a panel are spread.
+GROUPS = 64
 FITS = "origin date, n_obs long, seed long, loglik double, converged boolean, n_iter long, selected boolean, within_tol boolean"
 STATES = (
     "origin date, n_obs long, selected_seed long, p_high double, persistence array<double>, occupancy array<double>, n_eff array<double>, duration array<double>, min_eigenvalue array<double>, "
@@ -53,6 +55,8 @@ def threshold_rule(rows: DataFrame, value: str = "realized_vol_21d", min_obs: in
 
 def _windows(origins: DataFrame, rows: DataFrame, names: Sequence[str], min_obs: int) -> DataFrame:
     win = expanding_windows(origins, rows).select("origin", "date", *names)
+    # a few rows but long fits: a fixed count of partitions keeps adaptive execution from putting them in one task
+    win = win.repartition(GROUPS, "origin")
     return win.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("origin"))).filter(F.col("n") >= min_obs).drop("n")
 
 
@@ -145,4 +149,4 @@ def garch_forecasts(ends: DataFrame, returns: DataFrame, horizons: DataFrame) ->
         return pd.DataFrame([{"date": pdf["origin"].iloc[0], "asset": pdf["asset"].iloc[0], "forecast_ivar": value if np.isfinite(value) else None, "converged": ok}])
 
     win = expanding_windows(ends, returns.filter("r is not null")).join(F.broadcast(horizons.select(F.col("date").alias("origin"), "asset", "horizon_days")), ["origin", "asset"])
-    return win.groupBy("origin", "asset").applyInPandas(run, "date date, asset string, forecast_ivar double, converged boolean")
+    return win.repartition(GROUPS, "origin", "asset").groupBy("origin", "asset").applyInPandas(run, "date date, asset string, forecast_ivar double, converged boolean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import accounting, align, describe, inference, portfolio, regimes, reports, risk
-from ..sources import panels
+from ..sources import durable, panels
 from ..streaming import panels as streams
 from . import core
 from .core import BASE, rounded, rounded_sql
@@ -234,7 +234,7 @@ def origins(spark, d) -> DataFrame:
     return core.ends(spark, d).filter(F.month("date").isin(6, 12))
 
 
-@query("hmm_features", "SELECT * FROM feat", NAMES, base=BASE.rstrip() + FEAT)
+@query("hmm_features", "SELECT * FROM feat", NAMES, 10, base=BASE.rstrip() + FEAT)
 def _(spark, d):
     return market_features(spark, d)
 
@@ -274,7 +274,7 @@ def _(spark, d):
     return regimes.fit_starts(origins(spark, d), market_features(spark, d), seeds=SEEDS)
 
 
-@query("hmm_select", "SELECT * FROM (VALUES (DATE '2020-01-31', 1, -100.0::DOUBLE, true, false, false), (DATE '2020-01-31', 2, -99.999999999999::DOUBLE, true, true, true), (DATE '2020-01-31', 3, -99.999999999999::DOUBLE, true, true, false), (DATE '2020-01-31', 4, -1.0::DOUBLE, false, false, false)) v(origin, seed, loglik, converged, within_tol, selected)", "loglik", base="")
+@query("hmm_select", "SELECT * FROM (VALUES (DATE '2020-01-31', 1, -100.0::DOUBLE, true, true, true), (DATE '2020-01-31', 2, -99.999999999999::DOUBLE, true, true, false), (DATE '2020-01-31', 3, -99.999999999999::DOUBLE, true, true, false), (DATE '2020-01-31', 4, -1.0::DOUBLE, false, false, false)) v(origin, seed, loglik, converged, within_tol, selected)", "loglik", base="")
 def _(spark, d):
     rows = [("2020-01-31", 1, -100.0, True), ("2020-01-31", 2, -99.999999999999, True), ("2020-01-31", 3, -99.999999999999, True), ("2020-01-31", 4, -1.0, False)]
     return regimes.select_starts(spark.createDataFrame(rows, "origin string, seed int, loglik double, converged boolean").withColumn("origin", F.to_date("origin")))
@@ -338,10 +338,10 @@ def _(spark, d):
     return portfolio.origin_covariances(core.ends(spark, d), core.returns(spark, d))
 
 
-def ladder(spark, d, cap: float = CAP) -> DataFrame:
+def ladder(spark, d) -> DataFrame:
     o = origins(spark, d)
     states = regimes.fit_states(o, market_features(spark, d), seeds=SEEDS)
-    return portfolio.ladder(o, core.returns(spark, d), states, cap)
+    return portfolio.ladder(o, core.returns(spark, d), states, CAP)
 
 
 @query("min_variance")
@@ -354,23 +354,21 @@ def _(spark, d):
     return ladder(spark, d)
 
 
-def ladder_performance(spark, d, cap: float) -> DataFrame:
-    days = align.trading_days(core.panel(spark, d))
-    signals = ladder(spark, d, cap)
-    ex = align.execution_dates(signals.select("date").distinct(), days)
-    target = signals.join(F.broadcast(ex), signals["date"] == ex["signal_date"]).select("strategy", F.col("execution_date").alias("date"), "asset", "weight")
-    events = accounting.simulate(core.returns(spark, d, "simple"), target)[1]
-    return accounting.performance(accounting.net_returns(events, (10.0,)), rf(spark, d), "strategy")
-
-
 @query("robustness_grid")
 def _(spark, d):
-    """One factor away from the primary specification: the cap on a weight."""
-    grid = [ladder_performance(spark, d, cap).withColumn("specification", F.lit(name)) for name, cap in (("primary", 0.6), ("cap_50", 0.5), ("cap_40", 0.4))]
-    out = grid[0]
-    for g in grid[1:]:
-        out = out.unionByName(g)
-    return out
+    """One factor away from the primary specification: the cap on a weight. The fits are made once and kept; caps are rows."""
+    days, o = durable.keep(align.trading_days(core.panel(spark, d))), durable.keep(origins(spark, d))
+    r, simple = durable.keep(core.returns(spark, d)), durable.keep(core.returns(spark, d, "simple").select("date", "asset", "r"))
+    states = durable.keep(regimes.fit_states(o, durable.keep(market_features(spark, d)), seeds=SEEDS))
+    signals = None
+    for name, cap in (("primary", 0.6), ("cap_50", 0.5), ("cap_40", 0.4)):
+        one = durable.keep(portfolio.ladder(o, r, states, cap)).withColumn("strategy", F.concat("strategy", F.lit("@" + name)))
+        signals = one if signals is None else signals.unionByName(one)
+    ex = align.execution_dates(o.select("date"), days)
+    target = durable.keep(signals.join(F.broadcast(ex), signals["date"] == ex["signal_date"]).select("strategy", F.col("execution_date").alias("date"), "asset", "weight"))
+    events = durable.keep(accounting.simulate(simple, target)[1])
+    out = accounting.performance(accounting.net_returns(events, (10.0,)), durable.keep(rf(spark, d)), "strategy")
+    return out.withColumn("specification", F.split("strategy", "@")[1]).withColumn("strategy", F.split("strategy", "@")[0])
 
 
 # -- reports, text, streams ---------------------------------------------------------------------------------
@@ -399,7 +397,7 @@ def _(spark, d):
     return panels.landed(spark, d, "part").select("p_partkey", "p_type", C.tex_escape(F.concat("p_brand", F.lit("_"), "p_type", F.lit(" 5%"))).alias("escaped"))
 
 
-@query("macro_names", "SELECT * FROM (VALUES ('ann_vol_21d', 'annVolTwoOned'), ('sharpe', 'sharpe'), ('var_95', 'varNineFive')) v(k, name)", base="")
+@query("macro_names", "SELECT * FROM (VALUES ('ann_vol_21d', 'annVolTwoOneD'), ('sharpe', 'sharpe'), ('var_95', 'varNineFive')) v(k, name)", base="")
 def _(spark, d):
     keys = spark.createDataFrame([("ann_vol_21d",), ("sharpe",), ("var_95",)], "k string")
     return keys.select("k", C.macro_name(F.col("k")).alias("name"))
