@@ -49,7 +49,7 @@ def pattern(anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> str:
 
 def signatures(text: Column) -> Column:
     """Sorted distinct hashes of a text's spot signatures."""
-    plain = F.translate(F.lower(text), SIGNS, " " * len(SIGNS))
+    plain = F.regexp_replace(F.translate(F.lower(text), SIGNS, " " * len(SIGNS)), rf"{SPACE}+", " ")
     spots = F.regexp_extract_all(plain, F.lit(pattern()), F.lit(0))
     whole = F.when(F.trim(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.crc32(text.cast("binary"))))
     hashes = F.transform(spots, lambda s: F.crc32(s.cast("binary")))
