@@ -112,12 +112,12 @@ def _(spark, d):
     return panels.pending(every, every.filter("specification = 'A'"))
 
 
-@query("price_panel", "SELECT asset, date, price FROM panel", "price")
+@query("price_panel", "SELECT asset, date, price FROM panel", "price", 10)
 def _(spark, d):
     return panel(spark, d).select("asset", "date", "price")
 
 
-@query("price_panel_wide", "SELECT date, max(price) FILTER (asset = 'A') AS A, max(price) FILTER (asset = 'N') AS N, max(price) FILTER (asset = 'R') AS R FROM panel GROUP BY date", "A N R")
+@query("price_panel_wide", "SELECT date, max(price) FILTER (asset = 'A') AS A, max(price) FILTER (asset = 'N') AS N, max(price) FILTER (asset = 'R') AS R FROM panel GROUP BY date", "A N R", 10)
 def _(spark, d):
     return panel(spark, d).groupBy("date").pivot("asset", ["A", "N", "R"]).agg(F.first("price"))
 
