@@ -18,8 +18,10 @@ SHINGLE = 5
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of undetermined language: without letters or text."""
-    names = docs.columns
-    return language.predict(docs, language.fit(docs), tuple(names)).filter(F.col("lang_pred") != language.UND).select(*names)
+    held = {f"__{i}": c for i, c in enumerate(docs.columns)}  # under names that no result has
+    rows = docs.select("text", *[F.col(c).alias(h) for h, c in held.items()])
+    kept = language.predict(rows, language.fit(docs), tuple(held)).filter(F.col("lang_pred") != language.UND)
+    return kept.select(*[F.col(h).alias(c) for h, c in held.items()])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
