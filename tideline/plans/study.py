@@ -424,6 +424,40 @@ def _(spark, d):
     return reports.inventory(panels.landed(spark, d, "part"), "p_brand", ["p_name", "p_type"])
 
 
+@query("forecast_chart", "SELECT asset, date, max(CASE WHEN model = 'hist63' THEN sqrt(forecast_ivar / horizon_days * 252) * 100 END) AS hist63, max(CASE WHEN model = 'ewma' THEN sqrt(forecast_ivar / horizon_days * 252) * 100 END) AS ewma, max(sqrt(realized_ivar / horizon_days * 252) * 100) AS realized FROM fc GROUP BY ALL", "hist63 ewma realized")
+def _(spark, d):
+    fc = risk.forecasts(core.ends(spark, d), core.returns(spark, d))
+    vol = lambda c: F.sqrt(F.col(c) / F.col("horizon_days") * 252) * 100
+    wide = fc.groupBy("asset", "date").agg(*[F.max(F.when(F.col("model") == m, vol("forecast_ivar"))).alias(m) for m in ("hist63", "ewma")], F.max(vol("realized_ivar")).alias("realized"))
+    return wide.select("asset", "date", "hist63", "ewma", "realized")
+
+
+@query("conditioning_summary")
+def _(spark, d):
+    lw = portfolio.origin_covariances(core.ends(spark, d), core.returns(spark, d))
+    return portfolio.conditioning(lw, "origin").agg(F.count(F.lit(1)).alias("n"), F.avg("condition_cov").alias("mean_condition"), F.max("condition_cov").alias("max_condition"), F.min("min_eigenvalue").alias("min_eigenvalue"), F.avg("pc1_share").alias("mean_pc1_share"))
+
+
+@query("state_characteristics", "SELECT realized_vol_21d > m AS high, count(*) AS n, avg(mkt_log_return) AS mean_return, stddev_samp(mkt_log_return) AS std_return, avg(log_vix_lag1) AS mean_log_vix FROM feat, (SELECT quantile_cont(realized_vol_21d, 0.5) AS m FROM feat) GROUP BY ALL", "mean_return std_return mean_log_vix", base=BASE.rstrip() + FEAT)
+def _(spark, d):
+    f = market_features(spark, d)
+    middle = f.agg(F.percentile("realized_vol_21d", 0.5).alias("m"))
+    rows = f.join(F.broadcast(middle)).groupBy((F.col("realized_vol_21d") > F.col("m")).alias("high"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("mkt_log_return").alias("mean_return"), F.stddev_samp("mkt_log_return").alias("std_return"), F.avg("log_vix_lag1").alias("mean_log_vix"))
+
+
+@query("citation_gate", "SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)", base="")
+def _(spark, d):
+    cited = panels.landed(spark, d, "lineitem").select(F.col("l_partkey").alias("key"))
+    return reports.unknown(cited, "key", panels.landed(spark, d, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("key")))
+
+
+@query("bibliography", "SELECT * FROM (VALUES ('k1', 'article', 'a big title', ['doe', 'roe'], '2001'), ('k2', 'book', 'other', ['poe'], '1999')) v(\"key\", kind, title, surnames, year)", base="")
+def _(spark, d):
+    text = "@article{k1,\n  title = {A {B}ig Title},\n  author = {Doe, Jane and Roe, R.},\n  year = {2001}\n}\n@Book{k2,\n  title = {Other},\n  author = {Poe, E.},\n  year = {1999}\n}"
+    return reports.bibliography(spark.createDataFrame([(text,)], "text string"))
+
+
 @query("event_windows", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY ALL", "total", 4, "")
 def _(spark, d):
     return streams.event_windows(panels.landed(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
