@@ -6,11 +6,11 @@ pair at 0.8 misses all of them with probability (1 - 0.8**4)**32 < 1e-7. Sets of
 shingles have one permutation per value, those of ``SMALL`` or more one value per bin of one permutation; a
 size between has both, so that any two sets that can link share a scheme. An odd sketch folds a small
 set itself, or ``BINS`` MinHash samples of a large one, into ``BITS`` parities; in a band's bucket the XOR
-counts estimate every pair, those under ``LOW`` (five standard errors off) are left out, and the rest are confirmed on the full sets.
+counts estimate every pair, those five standard errors from a link (for samples, under ``LOW``) are left out, and the rest are confirmed on the full sets.
 
 Buckets are compared in rounds: first a spanning forest of the best estimates, then, between
-components that remain apart, the best 8, the best 64 and at last all pairs not yet compared; so a
-large group of near copies costs about its size, and no link is lost. A bucket of more than ``BUCKET`` classes is dealt
+components that remain apart, the best 8 and at last all pairs not yet compared, each in the first bucket
+the two share; so a large group of near copies costs about its size, and no link is lost. A bucket of more than ``BUCKET`` classes is dealt
 in blocks, each pair of blocks to one group. Components are found by alternating large and small stars.
 
 Null and empty texts have an empty set, linked with nothing. A null doc_id is no component's name
@@ -31,7 +31,7 @@ from .common import Scratch, table, text_of
 WORDS, LINK = 4, 0.8
 BANDS, ROWS, SMALL, BINS, BITS = 32, 4, 512, 512, 1024
 LOW, BUCKET = 0.70, 2048
-BEST = (1, 8, 64, None)
+BEST = (1, 8, None)
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 2**63, BANDS * ROWS, np.int64).astype(U) * U(2) + U(1)
@@ -93,13 +93,17 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, bytes | None, bytes | None]:
     return np.concatenate(buckets), small, large
 
 
-def likely(counts: np.ndarray, size: int, sizes: np.ndarray, scheme: int) -> np.ndarray:
-    """Estimated similarities from XOR population counts."""
+def likely(counts: np.ndarray, size: int, sizes: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarities from XOR population counts, and which are within the error of a link.
+
+    The parities of d differing values miss twice the coinciding pairs, about d * d / BITS, so an estimate of d is off by
+    d * (2 / BITS) ** 0.5 or so; a small set's d is its symmetric difference, a large one's comes from sampled values."""
     apart = -BITS / 2 * np.log1p(-np.minimum(2 * counts / BITS, 0.999))
     if scheme:
-        return 1 - apart / (2 * BINS)
+        est = 1 - apart / (2 * BINS)
+        return est, est >= LOW
     both = size + sizes
-    return (both - apart) / (both + apart)
+    return (both - apart) / (both + apart), apart <= both * (1 - LINK) / (1 + LINK) * (1 + 5 * (2 / BITS) ** 0.5) + 3
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -132,16 +136,21 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("th"), "text")
 
 
-def pairs_in_bucket(labels: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, scheme: int, best: int | None) -> list[tuple[int, int]]:
-    """Pairs of one bucket to confirm: of different labels, likely similar."""
+def pairs_in_bucket(labels: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, scheme: int, best: int | None, bucket: int = 0, buckets: np.ndarray | None = None, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of one bucket to confirm: of different labels, likely similar; with ``buckets`` (each member's), only those
+    that share no bucket before this one; with ``own``, only those of different blocks."""
     m, found = len(labels), []
     for i in range(m - 1):
         # sizes alone keep some apart: intersection <= the smaller, union >= the larger
         ok = (labels[i + 1 :] != labels[i]) & (np.minimum(sizes[i], sizes[i + 1 :]) >= LINK * np.maximum(sizes[i], sizes[i + 1 :]) - 1e-9)
+        if own is not None:
+            ok &= own[i + 1 :] != own[i]
         js = np.flatnonzero(ok) + i + 1
         if len(js):
-            est = likely(np.bitwise_count(sketches[i] ^ sketches[js]).sum(axis=1, dtype=np.int64), int(sizes[i]), sizes[js], scheme)
-            keep = est >= LOW
+            est, keep = likely(np.bitwise_count(sketches[i] ^ sketches[js]).sum(axis=1, dtype=np.int64), int(sizes[i]), sizes[js], scheme)
+            if buckets is not None and keep.any():
+                same = buckets[i] == buckets[js[keep]]
+                keep[keep] = buckets[i][same.argmax(axis=1)] == bucket
             found.append(np.stack([np.full(keep.sum(), i), js[keep], -est[keep]]))
     if not found:
         return []
@@ -184,9 +193,10 @@ def candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None,
         rows = rows.join(open_buckets, ["bucket", "block"])
     else:
         rows = rows.withColumn("label", F.col("cls"))
-    rows = rows.join(classes.select("cls", "n_shingles", "small", "large"), "cls")
+    rows = rows.join(classes.select("cls", "n_shingles", "small", "large", "buckets"), "cls")
     scheme = F.col("bucket").bitwiseAND(F.lit(1))
-    rows = rows.select("bucket", "block", "cls", "label", "n_shingles", F.when(scheme == 1, F.col("large")).otherwise(F.col("small")).alias("sketch"))
+    every = F.col("buckets") if labels is not None else F.lit(None).cast("array<bigint>")
+    rows = rows.select("bucket", "block", "cls", "label", "n_shingles", F.when(scheme == 1, F.col("large")).otherwise(F.col("small")).alias("sketch"), "own", "cross", every.alias("buckets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -199,7 +209,13 @@ def candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None,
                 labels = np.array([number.setdefault(r[3], len(number)) for r in held])
                 if len(number) > 1:
                     sketches = np.frombuffer(b"".join(r[5] for r in held), U).reshape(len(held), -1)
-                    for i, j in pairs_in_bucket(labels, sketches, np.array([r[4] for r in held], np.int64), held[0][0] & 1, best):
+                    every = None
+                    if held[0][8] is not None:
+                        every = np.full((len(held), 2 * BANDS), -np.arange(1, len(held) + 1)[:, None] * 2, np.int64)  # no bucket is shared where one has none
+                        for k, r in enumerate(held):
+                            every[k, (0 if r[8][0] & 1 == 0 else BANDS) : (BANDS if len(r[8]) == BANDS and r[8][0] & 1 == 0 else 2 * BANDS)] = r[8]
+                    own = np.array([r[6] for r in held]) if held[0][7] else None
+                    for i, j in pairs_in_bucket(labels, sketches, np.array([r[4] for r in held], np.int64), held[0][0] & 1, best, held[0][0], every, own):
                         x, y = sorted((held[i][2], held[j][2]))
                         out_a.append(x)
                         out_b.append(y)
@@ -212,7 +228,7 @@ def candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None,
             return batch
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "cls", "label", "n_shingles", "sketch")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "cls", "label", "n_shingles", "sketch", "own", "cross", "buckets")), strict=True):
                 if held and held[0][:2] != row[:2]:
                     close()
                 held.append(row)
@@ -286,11 +302,14 @@ def near_groups(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFr
     # beyond BUCKET classes a bucket is dealt in blocks, and each pair of blocks is a group
     counts = scratch.save(members.groupBy("bucket").count().filter(F.col("count") > BUCKET).withColumn("n", F.ceil(F.col("count") / BUCKET).cast("int") + 1).select("bucket", "n"), "large")
     own = F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")
-    groups = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), lambda k: F.least(k, own) * F.col("n") + F.greatest(k, own)))
-    members = scratch.save(members.join(counts, "bucket", "left").select("bucket", "cls", F.explode(groups).alias("block")), "dealt")
+    groups = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("block"), F.lit(False).alias("cross")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), lambda k: F.struct((F.least(k, own) * F.col("n") + F.greatest(k, own)).alias("block"), (k != own).alias("cross")))
+    )
+    members = members.join(counts, "bucket", "left").select("bucket", "cls", F.coalesce(own, F.lit(0)).alias("own"), F.explode(groups).alias("g")).select("bucket", "cls", "own", "g.block", "g.cross")
+    members = scratch.save(members, "dealt")
     used = members.select("cls").distinct()
     some = used.join(each.select("cls", "key", "th"), "cls")
-    sketches = scratch.save(some.join(full.select("cls", "key", "th", "n_shingles", "small", "large"), ["cls", "key", "th"]).dropDuplicates(["cls"]).drop("key", "th"), "met")
+    sketches = scratch.save(some.join(full.select("cls", "key", "th", "n_shingles", "small", "large", "buckets"), ["cls", "key", "th"]).dropDuplicates(["cls"]).drop("key", "th"), "met")
     texts = scratch.save(rows_of(docs).select("key", "th", "text").join(some, ["key", "th"]).select("cls", "text"), "texts")
 
     labels, tested, edges = None, None, None
