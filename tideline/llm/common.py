@@ -50,3 +50,16 @@ class Scratch:
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(df[name], F.lit(""))
+
+
+_held: dict = {}
+
+
+def held(name: tuple, make):
+    """What a Python worker keeps between tasks, under one name at a time: workers serve one stage after another, and
+    what an earlier one kept would count against the memory of the next. Without ``make`` it only lets go."""
+    if name not in _held:
+        _held.clear()
+        if make:
+            _held[name] = make()
+    return _held.get(name)

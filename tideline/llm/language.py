@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 SAMPLE, SEGMENT, SLOTS = 400, 48, 1 << 18
 EPOCHS, BATCH, RATE = 6, 64, 0.6
@@ -272,6 +272,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of SLOTS weights a language and a lexicon of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("language",), None)
         worker = Labeller(shared.value) if shared.value else None
         for batch in batches:
             texts = [t or "" for t in batch["__text"].to_pylist()]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_of
+from .common import Scratch, held, table, text_of
 
 WORDS, LINK = 4, 0.8
 BANDS, ROWS, SMALL, BINS, BITS = 32, 4, 512, 512, 1024
@@ -112,6 +112,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        held(("minhash",), None)
         for batch in batches:
             for i in range(0, len(batch), 1024):
                 part = batch.slice(i, 1024)

@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
+from .common import held
+
 #: Chunks whose ids a worker keeps.
 CACHE = 700_000
 PLAIN = re.compile(r"[^\W\d_]+[.,]")
@@ -100,6 +101,5 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
