@@ -27,7 +27,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines, and the documents of which no word is left."""
     names = docs.columns
-    out = line_dedup.dedup(docs, Scratch(spark, "lines")).filter((F.col("removed_lines") == 0) | F.col("text").rlike(WORD))
+    out = line_dedup.dedup(docs, Scratch(spark, "lines"), whole=True).filter((F.col("removed_lines") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 

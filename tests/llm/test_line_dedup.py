@@ -57,3 +57,46 @@ def test_cases(spark):
     assert by[3] is None and by[4] == "" and by[5] == "short\nshort" and by[6] == "short" and by[8] == rows[9][1] and by[9] == ""
     assert len({t for i, t in out if i == 7}) == 1
     assert line_dedup.dedup(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def brute_runs(docs: dict[int, str], words: int) -> dict[int, str]:
+    """Deletes the later side of every maximal equal run of lines, by all pairs of places."""
+    full = {d: [(i, x, len(x.split())) for i, x in enumerate(t.split("\n")) if x.split()] for d, t in docs.items()}
+    places: dict[str, list] = {}
+    for d in sorted(full):
+        for k, (_, x, _) in enumerate(full[d]):
+            places.setdefault(x, []).append((d, k))
+    gone: dict[int, set] = {d: set() for d in docs}
+    for at in places.values():
+        for j, (d, k) in enumerate(at):
+            for e, m in at[:j]:
+                a = b = 0
+                while k - a > 0 and m - a > 0 and full[d][k - a - 1][1] == full[e][m - a - 1][1]:
+                    a += 1
+                while k + b + 1 < len(full[d]) and m + b + 1 < len(full[e]) and full[d][k + b + 1][1] == full[e][m + b + 1][1]:
+                    b += 1
+                if sum(n for _, _, n in full[d][k - a : k + b + 1]) >= words:
+                    gone[d].add(k)
+    out = {}
+    for d, t in docs.items():
+        out[d] = [x for i, x in enumerate(t.split("\n")) if i not in {full[d][k][0] for k in gone[d]}]
+    return {d: [x for x in v if x.split()] for d, v in out.items()}
+
+
+def test_whole_runs(spark):
+    rng = random.Random(6)
+    lines = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    run = ["\n".join(f"{k} " * n for k, n in (("a", 30), ("b", 30), ("c", 10)))]
+    docs = {0: "own\n" + run[0], 1: run[0] + "\nother", 2: "\n".join(["z z z"] * 45)}
+    for i in range(3, 120):
+        own = [f"u{i} x" if rng.random() < 0.4 else rng.choice(lines) for _ in range(rng.randrange(1, 12))]
+        for _ in range(rng.randrange(3)):
+            a = rng.randrange(50)
+            own[1:1] = lines[a : a + rng.randrange(1, 8)]
+        if rng.random() < 0.3:
+            own.insert(2, "")
+        docs[i] = "\n".join(own)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df.repartition(5), Scratch(spark, "t"), whole=True).collect()}
+    assert got[1] == "other"
+    assert {d: [x for x in t.split("\n") if x.split()] for d, t in got.items()} == brute_runs(docs, line_dedup.WORDS)

@@ -4,8 +4,16 @@ Lines with words are hashed; at each line a window holds just as many lines as r
 The window's minimum hash is its fingerprint: any run of that many words repeated elsewhere holds a
 whole window, so both copies select the same minimum at the same place. Windows of equal fingerprint
 and equal content are joined with the first of them, by (doc_id, text hash, line); adjacent windows
-that matched an earlier one merge, which extends a match both ways to the whole repeated run, and
-the lines of such later runs are deleted. Lines outside them stay byte for byte.
+that matched an earlier one merge into runs, and the lines of such later runs are deleted. Lines
+outside them stay byte for byte.
+
+Windows from each line on leave the tail of a repeated run where less than ``words`` words follow a
+window's last line. ``whole`` adds the windows that end at each line. A least range of lines around a
+line that reaches ``words`` words starts there, ends there, or is a window of one of its ends, and
+equal ranges are such windows in every place; so a line then goes just when it lies in any run of
+``words`` words or more that stands earlier too: all maximal repeated runs go, with no pairs of copies
+made. ``op4_line_dedup`` and its SQL keep to the windows from each line on; the pipeline and
+``op4_line_dedup_whole`` delete whole runs.
 
 Defined cases: null text stays null; lines without words stay; rows equal in doc_id and text count
 as one document, and each keeps what it keeps; null doc_ids are ordered first; an empty table
@@ -27,43 +35,57 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(docs["text"])})
 
 
-def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per line that starts a full window: the window's last line, fingerprint and content hash."""
+def windows(docs: DataFrame, words: int = WORDS, whole: bool = False) -> DataFrame:
+    """Per line that starts a full window: the window's last line, fingerprint and content hash. ``whole`` adds those that end at a line."""
     lines = keyed(docs.select("doc_id", "text")).select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select(*KEY, "pos", F.xxhash64("line").alias("hash"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("n")).filter("n > 0")
     lines = lines.dropDuplicates([*KEY, "pos"])
     by_doc = Window.partitionBy(*KEY)
     lines = lines.withColumn("before", F.sum("n").over(by_doc.orderBy("pos")) - F.col("n"))
-    span = by_doc.orderBy("before").rangeBetween(0, words - 1)
-    out = lines.select(
-        *KEY, "pos",
-        F.last("pos").over(span).alias("end"),
-        F.sum("n").over(span).alias("span_words"),
-        F.min("hash").over(span).alias("fingerprint"),
-        F.xxhash64(F.collect_list("hash").over(span)).alias("content"),
-    )
-    return out.filter(F.col("span_words") >= words).drop("span_words")
-
-
-def repeated_runs(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+
+    def over(span, prefix: str = "") -> list:
+        return [
+            F.first("pos").over(span).alias(f"{prefix}pos"),
+            F.last("pos").over(span).alias(f"{prefix}end"),
+            F.sum("n").over(span).alias(f"{prefix}span_words"),
+            F.min("hash").over(span).alias(f"{prefix}fingerprint"),
+            F.xxhash64(F.collect_list("hash").over(span)).alias(f"{prefix}content"),
+        ]
+
+    names = ["pos", "end", "fingerprint", "content"]
+    ahead = over(by_doc.orderBy("before").rangeBetween(0, words - 1))
+    if not whole:
+        return lines.select(*KEY, *ahead).filter(F.col("span_words") >= words).select(*KEY, *names)
+    # lines are ordered alike by words before and up to them; those that end within words - 1 words of a line's end reach back to its window's start
+    lines = lines.withColumn("after", F.col("before") + F.col("n"))
+    out = lines.select(*KEY, "n", *ahead, *over(by_doc.orderBy("after").rangeBetween(-(words - 1), 0), "b_"))
+    # a window back that is also the one from its first line on is not needed again
+    pick = [
+        F.when(F.col("span_words") >= words, F.struct(*names)),
+        F.when((F.col("b_span_words") >= words) & (F.col("b_span_words") - F.col("n") >= words), F.struct(*[F.col(f"b_{c}").alias(c) for c in names])),
+    ]
+    return out.select(*KEY, F.explode(F.array_compact(F.array(*pick))).alias("w")).select(*KEY, "w.*")
+
+
+def repeated_runs(docs: DataFrame, scratch: Scratch, words: int = WORDS, whole: bool = False) -> DataFrame:
     """Per document with any: its later repeated runs of lines."""
-    found = scratch.save(windows(docs, words), "windows")
+    found = scratch.save(windows(docs, words, whole), "windows")
     place = F.struct(*KEY, "pos")
     first = found.groupBy("fingerprint", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # both sides of the join come from files, so that a hot window's partition can be split
     first = scratch.save(first, "first")
     later = found.join(first, ["fingerprint", "content"]).filter(place > F.col("first")).select(*KEY, "pos", "end")
-    by_doc = Window.partitionBy(*KEY).orderBy("pos")
+    by_doc = Window.partitionBy(*KEY).orderBy("pos", "end")  # ends grow with starts
     apart = F.coalesce((F.col("pos") > F.lag("end").over(by_doc) + 1).cast("int"), F.lit(1))
     runs = later.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_doc))
     runs = runs.groupBy(*KEY, "run").agg(F.min("pos").alias("a"), F.max("end").alias("b"))
     return runs.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("__runs"))
 
 
-def dedup(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch, words: int = WORDS, whole: bool = False) -> DataFrame:
     """The documents with later repeated runs deleted from ``text``, and removed_lines."""
     names = [c for c in docs.columns if c != "removed_lines"]
-    joined = keyed(docs.select(*names)).join(repeated_runs(docs, scratch, words), KEY, "left")
+    joined = keyed(docs.select(*names)).join(repeated_runs(docs, scratch, words, whole), KEY, "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.exists("__runs", lambda r: i.between(r["a"], r["b"])))
     joined = joined.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept))
@@ -78,6 +100,11 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(docs, Scratch(spark, "op4")).select("doc_id", "text", "removed_lines")
 
 
+def op4_line_dedup_whole(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup(docs, Scratch(spark, "op4"), whole=True).select("doc_id", "text", "removed_lines")
+
+
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
