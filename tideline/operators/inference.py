@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .risk import newey_west
 
 Z95 = 1.959963984540054
+#: Blocks of replicates, a task each.
+BLOCKS = 64
 
 
 def uniform(seed: int, rep: Column, pos: Column, stream: str) -> Column:
@@ -21,7 +23,9 @@ def uniform(seed: int, rep: Column, pos: Column, stream: str) -> Column:
 
 def indices(spark, n: int, block: float, reps: int, seed: int = 12345) -> DataFrame:
     """rep, pos, src: circular blocks that go on with probability 1 - 1 / block and otherwise start anywhere."""
-    grid = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("pos"))
+    # replicates are dealt before their positions exist: blocks of replicates, and no position is shuffled
+    dealt = spark.range(reps).select(F.col("id").alias("rep")).repartition(min(reps, BLOCKS), "rep")
+    grid = dealt.select("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("pos"))
     new = (F.col("pos") == 0) | (uniform(seed, F.col("rep"), F.col("pos"), "new") < 1 / block)
     grid = grid.withColumn("start", F.when(new, F.struct("pos", F.floor(uniform(seed, F.col("rep"), F.col("pos"), "at") * n).alias("at"))))
     w = Window.partitionBy("rep").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -181,7 +181,7 @@ nl AS (SELECT metric, value, value - avg(value) OVER (PARTITION BY metric) AS c,
 
 
 def resampled(spark, d) -> DataFrame:
-    """The first RESAMPLED days, so that replicates have a fixed length at every scale."""
+    """The first RESAMPLED days, so that replicates have a fixed length at every scale and SQL can follow; the queries named _whole take all days."""
     return paired(spark, d).orderBy("date").limit(RESAMPLED)
 
 
@@ -201,6 +201,32 @@ def _(spark, d):
     return inference.intervals(inference.draws(p, BLOCK, REPS, RESAMPLED), inference.observed(p))
 
 
+#: Replicates of the whole-series bootstrap, as in the plan of the study.
+DRAWS = 10_000
+
+
+@query("bootstrap_indices_whole")
+def _(spark, d):
+    return inference.indices(spark, paired(spark, d).count(), BLOCK, DRAWS)
+
+
+def drawn(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The whole paired series and its draws."""
+    p = durable.keep(paired(spark, d))
+    return p, inference.draws(p, BLOCK, DRAWS, p.count())
+
+
+@query("bootstrap_draws_whole")
+def _(spark, d):
+    return drawn(spark, d)[1]
+
+
+@query("bootstrap_intervals_whole")
+def _(spark, d):
+    p, draws = drawn(spark, d)
+    return inference.intervals(durable.keep(draws), inference.observed(p))
+
+
 HAC = ", e0 AS (SELECT date, b - a AS d FROM ab), e1 AS (SELECT date, d - avg(d) OVER () AS e, avg(d) OVER () AS mean, count(*) OVER () AS n FROM e0),\n" + (
     "e2 AS (SELECT *, " + ", ".join(f"lag(e, {j}) OVER (ORDER BY date) AS l{j}" for j in range(1, 22)) + " FROM e1),\n"
     "hac AS (SELECT mean, n, sqrt(sum(e * e) + " + " + ".join(f"{2 * (1 - j / 22)} * coalesce(sum(e * l{j}), 0)" for j in range(1, 22)) + ") / n AS se FROM e2 GROUP BY mean, n)"
