@@ -74,3 +74,15 @@ def test_cases(spark):
     kept = minhash.dedup(df, Scratch(spark, "t"), 4)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5, 6, 7, 9]
     assert minhash.near_groups(df.limit(0), Scratch(spark, "t")).count() == 0 and minhash.dedup(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_unlike_texts_of_one_or_no_doc_id_stay(spark):
+    clean = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(6)]
+    rows = [(None, t) for t in clean[:4]] + [(None, clean[0] + " more"), (1, clean[4]), (1, clean[5]), (1, clean[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text[:5]) for r in minhash.dedup(df, Scratch(spark, "t"), 5).collect())
+    assert kept == sorted([("None", t[:5]) for t in clean[:4]] + [("1", t[:5]) for t in clean[4:]])
+
+
+def test_a_text_of_one_shingle_links_to_a_longer_one(spark):
+    check(spark, [(1, "a a a a"), (2, "a a a a a"), (3, "b c d e"), (4, "b c d")])

@@ -49,7 +49,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
     w = text.encode(errors="surrogatepass").lower().split()
-    if len(w) <= words:
+    if len(w) < words:
         return np.array([xxh3_64_intdigest(b" ".join(w), 1)] if w else [], U)
     h = np.fromiter(map(xxh3_64_intdigest, w), U, len(w))
     s = h[: len(h) - words + 1].copy()
@@ -332,20 +332,21 @@ def near_groups(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFr
     if labels is not None:
         grouped = each.select("cls", "least_doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         least = grouped.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-        named = grouped.join(least, "label").select("cls", "component_id")
+        named = grouped.join(least, "label").select("cls", "label", "component_id")
     else:
-        named = each.select("cls", F.col("least_doc").alias("component_id"))
+        named = each.select("cls", F.col("cls").alias("label"), F.col("least_doc").alias("component_id"))
     named = scratch.save(named, "named")
     out = sigs.select("doc_id", "key", "th", "n_shingles", "cls").join(named, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "key", "th", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "key", "th", "n_shingles", "label", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def dedup(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """The documents less all but one of each group; of rows equal in doc_id and text one stays."""
     groups = near_groups(docs, scratch, words).filter("kept")
-    # rows of one doc_id in one group with different texts: the least text hash stays
-    stay = groups.groupBy("key", "component_id", (F.col("n_shingles") > 0).alias("full")).agg(F.min("th").alias("th")).select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
+    # rows of one doc_id in one group with different texts: the least text hash stays. Groups go by label: unlike texts can
+    # share a doc_id, or have none; texts without words are like no other
+    stay = groups.groupBy("key", "label", F.when(F.col("n_shingles") == 0, F.col("th")).alias("own")).agg(F.min("th").alias("th")).select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
     names = docs.columns
     keyed = docs.withColumns({"__key": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(text_of(docs))})
     return keyed.join(scratch.save(stay, "stay"), ["__key", "__th"], "left_semi").dropDuplicates(["__key", "__th"]).select(*names)
