@@ -2,8 +2,10 @@
 
 Each task packs the documents of its own partition, so nothing is shuffled and no key or source
 gathers anywhere. A document gives whole windows of ``LENGTH`` tokens; what is left of it is routed to
-the shortest tier that holds it. Each tier is packed first-fit by descending length; the gaps of the
-long windows are then filled from the shorter tiers, whose documents are cut there if need be. What a
+the shortest tier that holds it. Only the longest tier opens windows, first-fit by descending length;
+their gaps are filled from the shorter tiers, and what remains of those is concatenated and cut into
+windows of ``LENGTH``, so this is not hierarchical packing: short documents that would fit whole in a
+shorter sequence can be cut, and nearly all sequences are ``LENGTH`` long. What a
 task is left with at its end, less than one window, is cut at powers of two, so only a rest shorter
 than ``SHORTEST`` is padded. Sequences of a tier are dealt to step groups of about equal attention
 cost (the sum of squared piece lengths) by descending cost, to and fro.
