@@ -40,3 +40,25 @@ def test_matching_keeps_order():
     a = H.compact(H.parse("<body><div class=x><p>1</p></div><ul><li>2</ul><div class=y><h1>3</h1><p>4</p></div></body>"))
     b = H.numbered(H.compact(H.parse("<body><div class=y><h1>3</h1><p>4</p></div><div class=x><p>1</p></div></body>")))
     assert {e.label for e, _ in H.align(a, b)} == {"#root", "body", "div.y", "h1", "p"}
+
+
+def test_deep_pages_keep_what_lies_below_constant_text():
+    page = lambda text: "<body>" + "<div>" * 30 + f"<div>Label<div><p>{text}</p></div></div><p>Foot</p>" + "</div>" * 30 + "</body>"
+    a, b = H.compact(H.parse(page("one"))), H.numbered(H.compact(H.parse(page("two"))))
+    met = H.align(a, b)
+    assert {H.own_text(x) for x, _ in met} >= {"Label", "one", "Foot"}
+    label = [n for x, n in met if H.own_text(x) == "Label"]
+    foot = [n for x, n in met if H.own_text(x) == "Foot"]
+    text = H.extract(page("one"), page("two"), label + foot)
+    assert "one" in text and "Foot" not in text
+    deep = H.compact(H.parse("<div>" * 3000 + "<p>x</p>"))
+    assert len(H.align(deep, H.numbered(H.compact(H.parse("<div>" * 3000 + "<p>y</p>"))))) > 3000
+
+
+def test_long_pages_align_exactly(monkeypatch):
+    own = lambda kinds: "<body>" + "".join(f'<div class="{k}"><div>{k}</div></div>' for k in kinds) + "</body>"
+    first, second = "z" + "abc" * 90, "abc" * 90 + "z"
+    a, b = H.compact(H.parse(own(first))), H.numbered(H.compact(H.parse(own(second))))
+    long = len(H.align(a, b))
+    monkeypatch.setattr(H, "CELLS", 10**9)
+    assert long == len(H.align(a, b)) and long > 2 * 270

@@ -11,7 +11,7 @@ id names a menu, header, footer, sidebar, notice, advert, form, script or commen
 Character references are decoded, white space in a block becomes one space, blocks are joined by a
 line feed in page order; ``br`` is white space. Null or empty html gives an empty text. Pages
 without a host have no wrapper. Repeated rows each give a row; an empty table gives an empty one; other
-columns are not read. Alignment looks ``DEPTH`` levels deep; texts are taken from any depth.
+columns are not read. Alignment and texts go to any depth.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-CONSTANT, PAGES, DEPTH, CELLS = 0.9, 4, 12, 40_000
+CONSTANT, PAGES, CELLS = 0.9, 4, 40_000
 #: Wrappers are broadcast up to so many bytes of html, joined by host beyond.
 BROADCAST = 32 << 20
 
@@ -168,11 +168,9 @@ class Entry:
 
 def compact(root: Node) -> Entry:
     top = Entry("#root", root)
-    stack = [(top, 0)]
+    stack = [top]
     while stack:
-        entry, depth = stack.pop()
-        if depth >= DEPTH:
-            continue
+        entry = stack.pop()
         for x in entry.nodes[0].items:
             if not isinstance(x, Node) or (x.tag not in BLOCK and x.tag not in ("body", "html")):
                 continue
@@ -186,7 +184,7 @@ def compact(root: Node) -> Entry:
             kid.number = -2 if bare else -1
             entry.kids.append(kid)
             if not bare:
-                stack.append((kid, depth + 1))
+                stack.append(kid)
     return top
 
 
@@ -200,13 +198,54 @@ def numbered(top: Entry) -> Entry:
 
 
 def matching(a: Entry, b: Entry, memo: dict) -> int:
-    """Simple tree matching: the most pairs of alike nodes that keep order and ancestry."""
+    """Simple tree matching: the most pairs of alike nodes that keep order and ancestry. Without recursion, as pages can be deep."""
     if a.label != b.label:
         return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + table_of(a, b, memo)[-1][-1] if a.kids and b.kids else 1
-    return memo[key]
+    stack = [(a, b, False)]
+    while stack:
+        x, y, ready = stack.pop()
+        key = (id(x), id(y))
+        if key in memo:
+            continue
+        if ready or not x.kids or not y.kids:
+            memo[key] = 1 + last_row(x.kids, y.kids, memo)[-1]
+            continue
+        stack.append((x, y, True))
+        stack.extend((u, v, False) for u in x.kids for v in y.kids if u.label == v.label and (id(u), id(v)) not in memo)
+    return memo[(id(a), id(b))]
+
+
+def last_row(some: list[Entry], others: list[Entry], memo: dict) -> list[int]:
+    """The last row of the table of two lists of children whose pairs are matched."""
+    row = [0] * (len(others) + 1)
+    for x in some:
+        above, row = row, [0]
+        for j, y in enumerate(others):
+            w = memo[(id(x), id(y))] if x.label == y.label else 0
+            row.append(max(above[j + 1], row[j], above[j] + w))
+    return row
+
+
+def pairs_of(a: list[Entry], b: list[Entry], memo: dict) -> list[tuple[Entry, Entry]]:
+    """A best matching of two long lists of children in linear memory, by halves."""
+    for x in a:
+        for y in b:
+            matching(x, y, memo)
+    out, stack = [], [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        if not a or not b:
+            continue
+        if len(a) == 1:
+            y = max(b, key=lambda y: memo[(id(a[0]), id(y))] if y.label == a[0].label else 0)
+            if y.label == a[0].label:
+                out.append((a[0], y))
+            continue
+        m = len(a) // 2
+        up, down = last_row(a[:m], b, memo), last_row(a[m:][::-1], b[::-1], memo)
+        j = max(range(len(b) + 1), key=lambda j: up[j] + down[len(b) - j])
+        stack += [(a[:m], b[:j]), (a[m:], b[j:])]
+    return out
 
 
 def table_of(a: Entry, b: Entry, memo: dict) -> list[list[int]]:
@@ -228,13 +267,8 @@ def align(page: Entry, reference: Entry) -> list[tuple[Entry, int]]:
         out.append((a, b.number))
         if not a.kids or not b.kids:
             continue
-        if len(a.kids) * len(b.kids) > CELLS:  # too many children for the table: in order, by label
-            j = 0
-            for x in a.kids:
-                k = next((k for k in range(j, len(b.kids)) if b.kids[k].label == x.label), None)
-                if k is not None:
-                    stack.append((x, b.kids[k]))
-                    j = k + 1
+        if len(a.kids) * len(b.kids) > CELLS:  # no room for the table
+            stack.extend(pairs_of(a.kids, b.kids, memo))
             continue
         rows = table_of(a, b, memo)
         i, j = len(a.kids), len(b.kids)
