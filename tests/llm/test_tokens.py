@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -39,6 +40,29 @@ def test_encoder_equals_library():
         assert got == [reference(t) for t in TEXTS]
 
 
+def test_encoder_equals_library_on_odd_texts():
+    """100,000 texts of every category of code points, numbers in letters, and added tokens in all cases."""
+    rng = random.Random(1)
+    by_category: dict[str, list[str]] = {}
+    for c in range(0x30000):
+        by_category.setdefault(unicodedata.category(chr(c)), []).append(chr(c))
+    by_category.pop("Cs")
+    kinds = list(by_category)
+    odd = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "m²,", "km².", "x³,", "CO₂,", "H₂O.", "ῌ͂", "ǅ", "ŉ", "Σ", "İ", " ", "\x1c", "'s", "'S", "́", ".", ",", "\n"]
+
+    def some() -> str:
+        r = rng.random()
+        if r < 0.3:
+            return rng.choice(odd)
+        if r < 0.6:
+            return "".join(rng.choice("abcDEFéÉñüßЖж") for _ in range(rng.randrange(1, 6)))
+        return "".join(rng.choice(by_category[rng.choice(kinds)]) for _ in range(rng.randrange(1, 3)))
+
+    texts = ["".join(some() + " " * (rng.random() < 0.3) for _ in range(rng.randrange(1, 12))) for _ in range(100_000)] + odd
+    e = encoder(default_path())
+    want = e.tok.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, e.encode(texts), want, strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
+
 def test_files_read_back(spark):
     df = docs(spark)
     out = token_files.read(token_files.write(df, Scratch(spark, "t"), shards=3)).orderBy("start").collect()

@@ -17,7 +17,9 @@ from .common import held
 
 #: Chunks whose ids a worker keeps.
 CACHE = 700_000
-PLAIN = re.compile(r"[^\W\d_]+[.,]")
+#: Lower-case letters up to U+024F, all of category L: what the splitter keeps whole. Other scripts, numbers and signs go to the library.
+LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+")
+PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+[.,]")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
@@ -49,6 +51,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        #: Heads of the added tokens, in any case that lowering could turn into one of them.
+        self.added = {t.content[:1] + t.content[1:2] for t in self.tok.get_added_tokens_decoder().values()}
         #: By one letter run and one point or comma, ids are those of the two apart, if the file splits there.
         self.ends = {c: pack(self._ids(c)) for c in ".,"}
         self.splits = all(self._ids(f"ab{c}") == self._ids("ab") + self._ids(c) for c in ".,")
@@ -67,7 +71,7 @@ class Encoder:
             cache.clear()
         rest = []
         for w in chunks:
-            if plain and w.isalpha():
+            if plain and LETTERS.fullmatch(w):
                 cache[w] = self._word(w)
             elif plain and self.splits and PLAIN.fullmatch(w):
                 core = w[:-1]
@@ -85,12 +89,15 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
-            plain = text.isascii()
-            # Lower case first, where that can't change what the tokenizer's own normaliser makes of it.
+            # Lower case first, where that can't change what the tokenizer makes of it: its added tokens are matched before it lowers.
+            own = any(t in text for t in self.added)
+            plain = not own and text.isascii()
             if plain:
                 text = text.lower()
-            elif "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and len(low := text.lower()) == len(text):
-                plain, text = unicodedata.is_normalized("NFC", low), low
+            elif not own and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+                low = text.lower()
+                if len(low) == len(text) and unicodedata.is_normalized("NFC", low):
+                    plain, text = True, low
             # Python also splits at 1C to 1F, which the tokenizer takes for signs.
             words = text.split() if not SEPARATORS.search(text) else re.split(r"[ \t\n\r\x0b\x0c]+", text)
             ids = list(map(self.cache.get, words))
