@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tideline.llm import topk
 
@@ -33,8 +34,23 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_large_components_stay_exact():
     rng = np.random.default_rng(2)
-    q, c = rng.integers(-(2**25), 2**25, (64, 3)), rng.integers(-(2**25), 2**25, (64, 200))
-    got = list(topk.search_block(q, np.arange(3) + 900, c, np.arange(200), 5))
-    for j in range(3):
-        s = q[:, j].astype(object) @ c.astype(object)
-        assert [x[1:] for x in got if x[0] == 900 + j] == [(int(i), int(s[i])) for i in sorted(range(200), key=lambda i: (-s[i], i))[:5]]
+    for bound in (2**25, 2**31, 2**40):
+        q, c = rng.integers(-bound, bound, (64, 3)), rng.integers(-bound, bound, (64, 200))
+        c[:, 100:] = c[:, :100]
+        best = topk.Best(q.astype(float), np.arange(3) + 900, 5)
+        best.meet(c[:, :120].astype(float), np.arange(120))
+        best.meet(c[:, 120:].astype(float), np.arange(120, 200))
+        got = [[(v, -minus) for minus, v in top] for top in best.top]
+        for j in range(3):
+            s = q[:, j].astype(object) @ c.astype(object)
+            assert got[j] == [(int(i), int(s[i])) for i in sorted(range(200), key=lambda i: (-s[i], i))[:5]]
+
+
+def test_table_with_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [300000.0, 1.0]), (2, [0.5, 0.5]), (3, [-3e9, 1.0]), (4, [3e9, 7.0]), (50, [1e4, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(df, df.filter("vec_id = 0 or vec_id = 50")).collect()}
+    assert got == brute(rows, {0, 50}, 5) and (0, 1, 4, 256 * 256 * (3 * 10**9 + 14)) in got
+    far = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="passes a long"):
+        topk.top_k(far, far.filter("vec_id = 0")).collect()
