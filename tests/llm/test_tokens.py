@@ -99,22 +99,50 @@ def test_pieces_hold_every_id_once(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
-def test_fill_and_taper():
-    rng = random.Random(5)
-    for _ in range(200):
-        pieces = [(i, 0, max(1, int(rng.lognormvariate(5, 1.6)))) for i in range(rng.randrange(1, 60))]
-        made = packing.fill(pieces, 2048)
-        sums = [sum(p[2] for p in s) for s in made]
-        assert all(n == 2048 for n in sums[:-1]) and 0 < sums[-1] <= 2048
-        last = packing.taper(made[-1], packing.SHORTEST)
-        assert all((n := sum(p[2] for p in s)) & (n - 1) == 0 for s in last[:-1])
-        seen = {}
-        for s in made[:-1] + last:
-            for d, a, n in s:
-                seen.setdefault(d, []).append((a, n))
-        for d, _, n in pieces:
-            at = 0
-            for a, k in sorted(seen[d]):
-                assert a == at and k > 0
-                at += k
-            assert at == n
+def test_digest_names_each_piece(spark):
+    df = docs(spark)
+    rows = packing.digest(packing.pack(df)).collect()
+    whole = [np.array([*reference(r.text), 1], "<u4") for r in df.collect()]
+    for p in rows:
+        assert any(len(x) == p.doc_tokens and zlib.crc32(x[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for x in whole)
+    assert sum(p.length for p in rows) == sum(map(len, whole))
+
+
+def ids_of(sequences):
+    return sorted((d, i) for s in sequences for d, a, n in s for i in range(a, a + n))
+
+
+@pytest.mark.parametrize("mean", [2, 4, 5, 7])
+def test_tiers_are_packed_full(mean):
+    rng = random.Random(mean)
+    for turn in range(40):
+        pieces = [(i, 0, max(1, min(20_000, int(rng.lognormvariate(mean, 1.6))))) for i in range(rng.randrange(0, 400))]
+        sizes = {d: n for d, _, n in pieces}
+        full, left = packing.fill(pieces, 2048, sizes)
+        assert all(sum(p[2] for p in s) == tier and tier in packing.TIERS for tier, s in full)
+        assert sum(p[2] for p in left) < 2048
+        tail = packing.taper(left)
+        assert all((n := sum(p[2] for p in s)) & (n - 1) == 0 for s in tail)
+        assert ids_of([*(s for _, s in full), *tail]) == ids_of([[p] for p in pieces])
+        # without the tiers, the result is another
+        if turn == 0 and mean > 4:
+            assert len({tier for tier, _ in full}) > 2
+
+
+def test_short_documents_stay_whole():
+    rng = random.Random(9)
+    pieces = [(i, 0, max(1, int(rng.lognormvariate(5.8, 1.0)))) for i in range(3000)]
+    sizes = {d: n for d, _, n in pieces}
+    full, left = packing.fill(pieces, 2048, sizes)
+    times = {}
+    for s in [*(s for _, s in full), left]:
+        for d, _, _ in s:
+            times[d] = times.get(d, 0) + 1
+    assert any(n > 2048 for n in sizes.values()) and {t for t, _ in full} == set(packing.TIERS)
+    assert [d for d, k in times.items() if k > 1 and sizes[d] <= 2048] == []
+    dealt = packing.grouped(full, 2048)
+    cost, tokens = {}, {}
+    for g, tier, s in dealt:
+        cost[g] = cost.get(g, 0) + sum(p[2] ** 2 for p in s)
+        tokens[g] = tokens.get(g, 0) + tier
+    assert max(cost.values()) < 1.1 * min(cost.values()) and max(tokens.values()) < 1.3 * min(tokens.values())

@@ -1,14 +1,15 @@
-"""Packing: documents into sequences of at most ``LENGTH`` tokens, in tiers.
+"""Hierarchical packing: documents into sequences of several context sizes, in tiers.
 
 Each task packs the documents of its own partition, so nothing is shuffled and no key or source
-gathers anywhere. A document gives whole windows of ``LENGTH`` tokens; what is left of it is routed to
-the shortest tier that holds it. Only the longest tier opens windows, first-fit by descending length;
-their gaps are filled from the shorter tiers, and what remains of those is concatenated and cut into
-windows of ``LENGTH``, so this is not hierarchical packing: short documents that would fit whole in a
-shorter sequence can be cut, and nearly all sequences are ``LENGTH`` long. What a
-task is left with at its end, less than one window, is cut at powers of two, so only a rest shorter
-than ``SHORTEST`` is padded. Sequences of a tier are dealt to step groups of about equal attention
-cost (the sum of squared piece lengths) by descending cost, to and fro.
+gathers anywhere. A document goes to the shortest tier that holds it whole; one beyond ``LENGTH`` tokens gives whole windows of
+the longest tier and a loose rest. Every tier is packed at its own size, longest first: best fit by descending length, and then the longest documents
+of shorter tiers that fit into a window's gap, whole. What gap is left is filled exactly by cutting
+loose rests, or else a window of a long document; only where a task has neither is a document cut that a tier holds, those of the
+emptiest window of the shortest tier first. So all sequences are full but for what a
+task is left with at its end, less than one window of the longest tier, which is cut at powers of two. There is no padding.
+
+Step groups hold about as many tokens as ``GROUP`` windows of ``LENGTH`` do: sequences of every tier are dealt evenly to them
+in rounds, the costliest (by the sum of squared piece lengths, as attention costs) to the group that has cost least so far.
 
 Null texts are empty and have just the end id. Repeated rows are packed as often as they come; an
 empty table gives an empty one. Other columns are not read. sequence_id is unique over the table and
@@ -30,8 +31,7 @@ from .tokenize import default_path, encoder
 
 LENGTH = 2048
 TIERS = (256, 512, 1024, 2048)
-SHORTEST = 16
-#: Sequences of the longest tier in a step group; a shorter tier has more, for as many tokens.
+#: Windows of the longest tier that a step group has the tokens of.
 GROUP = 8
 #: Ids held at a time by a task.
 HELD = 1 << 20
@@ -40,86 +40,119 @@ SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long
 Piece = tuple[int, int, int]  # number of the document, start, length
 
 
-def fill(pieces: list[Piece], length: int) -> list[list[Piece]]:
-    """Sequences of at most ``length`` with every id of the pieces once, all but the last full."""
-    whole, rest = [], {t: [] for t in TIERS if t <= length}
+def tiers_of(length: int) -> tuple[int, ...]:
+    return (*[t for t in TIERS if t < length], length)
+
+
+class Loose:
+    """Pieces that may be cut."""
+
+    def __init__(self, pieces: list[Piece], windows: list[list[Piece]]):
+        self.pieces, self.windows = pieces, windows
+
+    def take(self, n: int) -> list[Piece]:
+        """Up to n ids; a window of a long document is broken up where there are no pieces left."""
+        out = []
+        while n and (self.pieces or self.windows):
+            if not self.pieces:
+                self.pieces = self.windows.pop()
+            doc, start, k = self.pieces.pop()
+            out.append((doc, start, min(n, k)))
+            if k > n:
+                self.pieces.append((doc, start + n, k - n))
+            n -= min(n, k)
+        return out
+
+
+def packed_tier(docs: list[tuple[int, int, int]], size: int, shorter: list[tuple[int, int, int]]) -> list[list]:
+    """[room, pieces] of each window of a tier, best fit by descending length; then ``shorter`` (ascending) gives
+    each gap the longest documents that fit. Documents are (length, number, start)."""
+    rooms: list[tuple[int, int]] = []
+    bins: list[list] = []
+    for n, doc, start in sorted(docs, key=lambda x: (-x[0], x[1], x[2])):
+        k = bisect_left(rooms, (n, -1))
+        if k < len(rooms):
+            room, b = rooms.pop(k)
+            bins[b][1].append((doc, start, n))
+            bins[b][0] = room - n
+            if room > n:
+                insort(rooms, (room - n, b))
+        else:
+            bins.append([size - n, [(doc, start, n)]])
+            if size > n:
+                insort(rooms, (size - n, len(bins) - 1))
+    for one in bins:
+        while one[0] and shorter and shorter[0][0] <= one[0]:
+            n, doc, start = shorter.pop(bisect_left(shorter, (one[0] + 1, -1, -1)) - 1)
+            one[1].append((doc, start, n))
+            one[0] -= n
+    return bins
+
+
+def fill(pieces: list[Piece], length: int, sizes: dict[int, int]) -> tuple[list[tuple[int, list[Piece]]], list[Piece]]:
+    """(tier, pieces) of full sequences, and what is left, under ``length`` ids; every id of the pieces once. ``sizes`` has each document's."""
+    tiers = tiers_of(length)
+    routed: dict[int, list] = {t: [] for t in tiers}
+    windows, rests = [], []
     for doc, start, n in pieces:
+        if n == sizes[doc] <= length:
+            routed[min(t for t in tiers if t >= n)].append((n, doc, start))
+            continue
         while n >= length:
-            whole.append([(doc, start, length)])
+            windows.append([(doc, start, length)])
             start, n = start + length, n - length
         if n:
-            rest[min(t for t in rest if t >= n)].append((n, doc, start))
-    # first fit by descending length over the open windows' room
-    rooms: list[tuple[int, int]] = []
-    bins: list[list[Piece]] = []
-    shorter: list[tuple[int, int, int]] = []
-    for t in sorted(rest, reverse=True):
-        for n, doc, start in sorted(rest[t], key=lambda x: (-x[0], x[1], x[2])):
-            k = bisect_left(rooms, (n, -1))
-            if k < len(rooms):
-                room, b = rooms.pop(k)
-                bins[b].append((doc, start, n))
-                if room > n:
-                    insort(rooms, (room - n, b))
-            elif t == length:
-                bins.append([(doc, start, n)])
-                insort(rooms, (length - n, len(bins) - 1))
-            else:
-                shorter.append((n, doc, start))
-    # the gaps are filled from the shorter tiers, longest first, then from the emptiest windows
-    shorter.sort(key=lambda x: (x[0], -x[1], -x[2]))
-    shorter = [(doc, start, n) for n, doc, start in shorter]
-    for room, b in sorted(rooms):
-        while room and shorter:
-            doc, start, n = shorter.pop()
-            bins[b].append((doc, start, min(n, room)))
-            if n > room:
-                shorter.append((doc, start + room, n - room))
-            room -= min(n, room)
-    current: list[Piece] = []
-    room = length
-    while shorter:
-        doc, start, n = shorter.pop()
-        current.append((doc, start, min(n, room)))
-        if n > room:
-            shorter.append((doc, start + room, n - room))
-        room -= min(n, room)
-        if not room:
-            bins.append(current)
-            current, room = [], length
-    if current:
-        bins.append(current)
-    used = lambda b: sum(p[2] for p in b)
-    full = [b for b in bins if used(b) == length]
-    gapped = sorted((b for b in bins if used(b) < length), key=used)
-    while len(gapped) > 1:  # the emptiest window fills the fullest
-        room = length - used(gapped[-1])
-        doc, start, n = gapped[0].pop()
-        gapped[-1].append((doc, start, min(n, room)))
-        if n > room:
-            gapped[0].append((doc, start + room, n - room))
-        if not gapped[0]:
-            gapped.pop(0)
-        if gapped and used(gapped[-1]) == length:
-            full.append(gapped.pop())
-    return whole + full + gapped
-
-
-def taper(last: list[Piece], shortest: int) -> list[list[Piece]]:
-    """A window that isn't full, cut at powers of two down to ``shortest``."""
-    out, left = [], list(last)[::-1]
-    n = sum(p[2] for p in left)
-    while n:
-        size = max(1 << (n.bit_length() - 1), shortest)
-        part, room = [], size
-        while room and left:
-            doc, start, k = left.pop()
-            part.append((doc, start, min(k, room)))
-            if k > room:
-                left.append((doc, start + room, k - room))
-            room -= min(k, room)
-        out.append(part)
-        n -= min(n, size)
+            rests.append((doc, start, n))
+    rests.sort(key=lambda p: (-p[2], p))
+    loose, full, gapped = Loose(rests, windows), [], []
+    shorter = sorted(x for t in tiers[:-1] for x in routed[t])
+    for tier in reversed(tiers):
+        here = set(routed[tier])
+        if tier != length:
+            here &= set(shorter)  # those that longer tiers have not taken
+            shorter = [x for x in shorter if x not in here]
+        for room, some in packed_tier(list(here), tier, shorter):
+            (gapped if room else full).append((tier, room, some))
+    full = [(tier, some) for tier, _, some in full]
+    # the fullest first; those of the shortest tier and most room are the first to be cut up for the others
+    gapped.sort(key=lambda g: (-g[0], g[1], g[2]), reverse=True)
+    while gapped:
+        tier, room, some = gapped.pop()
+        got = loose.take(room)
+        while sum(p[2] for p in got) < room and gapped:
+            loose.pieces = gapped.pop(0)[2]
+            got += loose.take(room - sum(p[2] for p in got))
+        if sum(p[2] for p in got) < room:
+            loose.pieces += some + got
+        else:
+            full.append((tier, some + got))
+    full += [(length, w) for w in loose.windows]
+    while sum(p[2] for p in loose.pieces) >= length:
+        loose.windows = []
+        full.append((length, loose.take(length)))
+    return full, loose.pieces
+
+
+def taper(last: list[Piece]) -> list[list[Piece]]:
+    """What is left at the end, cut at powers of two."""
+    loose, out = Loose(list(last)[::-1], []), []
+    while loose.pieces:
+        n = sum(p[2] for p in loose.pieces)
+        out.append(loose.take(1 << (n.bit_length() - 1)))
+    return out
+
+
+def grouped(sequences: list[tuple[int, list[Piece]]], length: int) -> list[tuple[int, int, list[Piece]]]:
+    """(step group from 0, tier, pieces): every tier is dealt in rounds of one sequence a group, the costliest to the group that costs least so far."""
+    count = max(1, -(-sum(t for t, _ in sequences) // (GROUP * length)))
+    spent, out, ranked, turn = [0] * count, [], [], 0
+    cost = lambda s: sum(p[2] ** 2 for p in s)
+    for tier, some in sorted(sequences, key=lambda s: (-s[0], -cost(s[1]), s[1])):
+        if turn == 0:
+            ranked = sorted(range(count), key=lambda g: (spent[g], g))
+        group, turn = ranked[turn], (turn + 1) % count
+        spent[group] += cost(some)
+        out.append((group, tier, some))
     return out
 
 
@@ -133,52 +166,47 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, length: int
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
         sequences, groups = 0, 0
 
-        def emit(made: list[list[Piece]], keys: list, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def emit(made: list[tuple[int, list[Piece]]], keys: list, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
             nonlocal sequences, groups
-            by_tier: dict[int, list] = {}
-            for s in made:
-                n = sum(p[2] for p in s)
-                by_tier.setdefault(1 << (n - 1).bit_length(), []).append(s)
             rows: list[tuple] = []
-            for tier, some in sorted(by_tier.items()):
-                some.sort(key=lambda s: (-sum(p[2] ** 2 for p in s), s))
-                count = -(-len(some) * tier // (GROUP * length))
-                for i, s in enumerate(some):
-                    turn, k = divmod(i, count)
-                    group, offset = task + groups + (k if turn % 2 == 0 else count - 1 - k), 0
-                    for doc, start, n in s:
-                        rows.append((keys[doc], start, parts[doc][4 * start : 4 * (start + n)], len(parts[doc]) // 4, task + sequences, offset, tier, group))
-                        offset += n
-                    sequences += 1
-                groups += count
+            dealt = grouped(made, length)
+            for group, tier, s in dealt:
+                offset = 0
+                for doc, start, n in s:
+                    rows.append((keys[doc], start, parts[doc][4 * start : 4 * (start + n)], len(parts[doc]) // 4, task + sequences, offset, tier, task + groups + group))
+                    offset += n
+                sequences += 1
+            groups += max((g for g, _, _ in dealt), default=-1) + 1
             for i in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 4096], strict=True), schema, strict=True)], schema=schema)
 
         keys: list = []
         parts: list[bytes] = []
+        sizes: dict[int, int] = {}
         open_pieces: list[Piece] = []
         held = 0
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 for key, ids in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist()), strict=True):
-                    open_pieces.append((len(parts), 0, len(ids) // 4 + 1))
+                    n = len(ids) // 4 + 1
+                    open_pieces.append((len(parts), 0, n))
+                    sizes[len(parts)] = n
                     keys.append(key)
                     parts.append(ids + end)
-                    held += len(ids) // 4 + 1
+                    held += n
                 if held >= HELD:
-                    made = fill(open_pieces, length)
-                    last = made.pop() if sum(p[2] for p in made[-1]) < length else []
+                    made, last = fill(open_pieces, length, sizes)
                     yield from emit(made, keys, parts)
                     numbers = sorted({p[0] for p in last})
                     place = {d: k for k, d in enumerate(numbers)}
                     keys, parts = [keys[d] for d in numbers], [parts[d] for d in numbers]
+                    sizes = {k: len(p) // 4 for k, p in enumerate(parts)}
                     open_pieces = [(place[d], s, n) for d, s, n in last]
                     held = sum(n for _, _, n in open_pieces)
         if open_pieces:
-            made = fill(open_pieces, length)
-            last = made.pop() if sum(p[2] for p in made[-1]) < length else []
-            yield from emit(made + taper(last, SHORTEST), keys, parts)
+            made, last = fill(open_pieces, length, sizes)
+            yield from emit(made + [(sum(p[2] for p in s), s) for s in taper(last)], keys, parts)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, SCHEMA)
 

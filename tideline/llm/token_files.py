@@ -5,8 +5,8 @@ each shard in order and writes file images of some ``SEGMENT`` ids, whole docume
 documents' lengths; they are the rows of a Parquet table, so that any store Spark writes to will do.
 ``read`` decodes them. Only counts per segment meet in one place to number the ids.
 
-Null texts are empty and still get the end id; null doc_ids come first; rows of equal doc_id are
-ordered by text. An empty table gives an empty table. Other columns are not read.
+Shards grow in number with the table's size. Null texts are empty and still get the end id; null doc_ids come first; rows of equal doc_id are
+ordered by their text's hash, then text. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import Scratch, table, text_of
 from .tokenize import default_path, encoder
 
 SEGMENT = 1 << 18
+#: Bytes of the input's files to a shard.
+SHARD = 64 << 20
 SEGMENTS = "shard int, segment int, n_ids long, doc_ids array<long>, lengths binary, image binary"
 PIECES = "shard int, segment int, doc_id long, before long, n_tokens long, ids binary"
 
@@ -88,7 +90,9 @@ def decode_segments(segments: DataFrame) -> DataFrame:
 
 def write(docs: DataFrame, scratch: Scratch, path: str | None = None, end_id: int = 2, shards: int | None = None) -> DataFrame:
     """The written segments, reread."""
-    shards = shards or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not shards:
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     return scratch.save(encode_shards(docs, path or default_path(), end_id, shards), "token-segments")
 
 
