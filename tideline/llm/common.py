@@ -2,49 +2,38 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import durable
+
 #: Words are the runs between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-LANES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Unset, a local master gets a temporary one; a cluster is refused."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'tideline-shared')}"
-
-
 class Scratch:
-    """Durable intermediate tables below the shared folder; they cut lineage and survive lost executors."""
+    """Durable intermediate tables below the shared folder; they cut lineage, survive lost executors and are deleted when the application ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{durable.shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        durable.delete_at_end(self.spark, self.root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, at = durable.file_system(self.spark, f"{self.root}/{name}")
+        files.delete(at, True)
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
@@ -63,3 +52,11 @@ def held(name: tuple, make):
         if make:
             _held[name] = make()
     return _held.get(name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added while a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,17 +1,22 @@
 """HTML extraction by wrapper induction.
 
-Of each host one page (that of least content hash) is the reference. Every page's DOM is aligned with its
-host's reference by simple tree matching, runs of alike childless siblings counting as one repeated
-node. Over all pages of the host, a node whose text is the same on ``CONSTANT`` of at least ``PAGES``
-pages is template, a varying one is a content slot; if the slot with most text is itself mostly
-constant (copies of one page), the host has no wrapper. A page's text is that of its article: the
-``article`` or ``main`` element with most text, or else the body, without elements whose tag, role, class or
-id names a menu, header, footer, sidebar, notice, advert, form, script or comments, and without template nodes.
+The pages of a host are told apart by layout (the body's class words, and whether there is a main and one or more articles);
+of each layout one page (that of least content hash) is the reference. Every page's DOM is aligned with its
+reference by simple tree matching, runs of alike childless siblings counting as one repeated
+node. Pages of one main text (their longest) count once. Over the pages of a layout, a node whose text is the same on ``CONSTANT`` of at least ``PAGES``
+pages is template, one whose text stands in links is a menu, and a varying one is a content slot. The content's root is found from the
+slots alone: from the top down, the block that holds ``HEAVY`` of the varying text, as long as no varying heading stands beside it.
+A page's text is what lies in its node aligned with that root, without template and menu nodes.
+
+Tags, roles and class words only leave out what they name (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+comments), and choose the root where there is none: on layouts of under ``PAGES`` distinct pages, where text is spread
+over the body, and on pages that do not align. There the outermost ``article`` elements are taken, or else those of ``main``,
+or the block with content words in its class that has most text, or the body. In an article a class must consist of such words and neutral ones to be left out.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a
 line feed in page order; ``br`` is white space. Null or empty html gives an empty text. Pages
 without a host have no wrapper. Repeated rows each give a row; an empty table gives an empty one; other
-columns are not read. Alignment and texts go to any depth.
+columns are not read. Alignment and texts go to any depth and length.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-CONSTANT, PAGES, CELLS = 0.9, 4, 40_000
+CONSTANT, PAGES, HEAVY, LINKED = 0.9, 4, 0.8, 0.9
+#: A table of two lists of children is held up to so many cells; beyond, the same matching is found by halves.
+CELLS = 40_000
 #: Wrappers are broadcast up to so many bytes of html, joined by host beyond.
 BROADCAST = 32 << 20
 
@@ -45,6 +53,13 @@ HINTS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer "
     "comment comments commentlist respond replies discussion disqus related recommended recommendations share sharing social pagination pager toolbar".split()
 )
+#: Words that beside those do not make a class another thing.
+NEUTRAL = frozenset(
+    "area articles bar bars block blocks body bottom box boxes button buttons col column container content desktop email fb fixed footer global group header holder icon icons inner item items "
+    "latest layout left link links list main media mobile module more news outer page panel popular post posts primary reader readers right row secondary section site slot social sticky story stories "
+    "text title top trending unit user users wrap wrapper zone article entry inline js id".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article post entry story main content maincontent articlebody body".split())
 TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -66,6 +81,13 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("#root")
     open_nodes, at, n = [root], 0, len(page)
+    count: Counter = Counter()  # of open elements by tag, so that no search is made for one that isn't open
+
+    def close_from(i: int) -> None:
+        for x in open_nodes[i:]:
+            count[x.tag] -= 1
+        del open_nodes[i:]
+
     while at < n:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else n]
@@ -78,20 +100,23 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == tag:
-                    del open_nodes[i:]
-                    break
-                if open_nodes[i].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "table", "thead", "tfoot", "body", "html"):
-                    break
+            if count[tag]:
+                for i in range(len(open_nodes) - 1, 0, -1):
+                    if open_nodes[i].tag == tag:
+                        close_from(i)
+                        break
+                    if open_nodes[i].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "table", "thead", "tfoot", "body", "html"):
+                        break
             continue
-        if tag in BLOCK:
-            close = {"p"} | ENDS.get(tag, set()) if tag not in ("html", "body") else set()
-            for i in range(len(open_nodes) - 1, 0, -1):
+        if tag in BLOCK and tag not in ("html", "body"):
+            close = {"p"} | ENDS.get(tag, set())
+            i = len(open_nodes) - 1
+            while i > 0 and any(count[x] for x in close):
                 if open_nodes[i].tag in close:
-                    del open_nodes[i:]
-                elif open_nodes[i].tag in SCOPE and open_nodes[i].tag not in close:
+                    close_from(i)
+                elif open_nodes[i].tag in SCOPE:
                     break
+                i -= 1
         node = Node(tag, m[3])
         open_nodes[-1].items.append(node)
         if tag in RAW:
@@ -99,6 +124,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/>"):
             open_nodes.append(node)
+            count[tag] += 1
     return root
 
 
@@ -151,7 +177,15 @@ def unwanted(node: Node, inside: bool) -> bool:
     if node.tag in ("html", "body", "main"):
         return False
     names = node.names()
-    return any(x in HINTS for x in names) and not (inside and "header" in names and not (set(names) & HINTS) - {"header"})
+    if not any(x in HINTS for x in names):
+        return False
+    if not inside:
+        return True
+    for token in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = [x.lower() for x in re.split(r"[^A-Za-z]+", CAMEL.sub(" ", token)) if x]
+        if any(x in HINTS - {"header"} for x in words) and all(x in HINTS or x in NEUTRAL for x in words):
+            return True
+    return False
 
 
 # -- alignment ------------------------------------------------------------------------------------
@@ -299,85 +333,180 @@ def own_text(entry: Entry) -> str:
     return "\n".join(parts)
 
 
+def characters(entry: Entry) -> tuple[int, int]:
+    """Of the entry's own text: all characters that aren't white space, and those in links."""
+    every = links = 0
+    stack = [(x, node.tag == "a") for node in entry.nodes for x in node.items]
+    while stack:
+        x, linked = stack.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            every += n
+            links += n if linked else 0
+        elif x.tag not in BLOCK and x.tag not in DROPPED:
+            stack.extend((y, linked or x.tag == "a") for y in x.items)
+    return every, links
+
+
+def induce(reference: str, stats: list[tuple[int, int, int, float, float]]) -> tuple[int, list[int]]:
+    """The number of the content's root (-1 without one) and those of template and menu nodes, from (number, pages of
+    the commonest text, pages, characters, characters in links) of the reference's nodes."""
+    top, by = reference_of(reference), {x[0]: x for x in stats}
+    every = max((x[2] for x in stats), default=0)
+    if every < PAGES:
+        return -1, []
+    leave = {n for n, most, pages, size, links in stats if pages >= PAGES and (most >= CONSTANT * pages or links >= LINKED * size)}
+    order, stack = [], [top]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(x.kids)
+    mass: dict[int, float] = {}
+    headed: dict[int, bool] = {}
+    for x in reversed(order):
+        seen = by.get(x.number) if x.number not in leave else None
+        mass[x.number] = sum(mass[k.number] for k in x.kids) + (max(0.0, seen[3] - seen[4]) * seen[2] / every if seen else 0.0)
+        headed[x.number] = any(headed[k.number] for k in x.kids) or bool(seen) and x.nodes[0].tag in HEADINGS
+    x = top
+    while x.kids and x.nodes[0].tag != "article":
+        heavy = max(x.kids, key=lambda k: mass[k.number])
+        if not heavy.kids or mass[heavy.number] < HEAVY * mass[x.number] or any(headed[k.number] for k in x.kids if k is not heavy):
+            break
+        x = heavy
+    return (x.number if x.nodes[0].tag not in ("#root", "html", "body") else -1), sorted(leave)
+
+
 # -- extraction -----------------------------------------------------------------------------------
 
 
-def extract(page: str, reference: str | None = None, constant: list[int] | None = None) -> str:
-    root = parse(page)
-    template: set[int] = set()
-    if reference and constant:
-        flags = set(constant)
-        for entry, number in align(compact(root), reference_of(reference)):
-            if number in flags and not entry.kids:
-                template.update(map(id, entry.nodes))
-    out: set[int] = set(template)
-    found: list[tuple[Node, int]] = []  # article-like elements outside what is dropped, with their rank
-    stack: list[tuple[Node, bool]] = [(root, False)]
+def is_article(node: Node) -> bool:
+    return node.tag == "article" and not set(node.names()) & HINTS - {"header", "sponsored", "promoted"} or node.attributes.get("itemprop") == "articleBody"
+
+
+def candidates(top: Node, inside: bool, out: set[int]) -> list[tuple[Node, int]]:
+    """Article-like elements in page order, outermost of a rank only; adds what is left out to ``out``."""
+    found: list[tuple[Node, int]] = []
+    stack: list[tuple[Node, bool, tuple[int, ...]]] = [(top, inside, ())]
     while stack:
-        x, inside = stack.pop()
-        names = set(x.names()) if x.attributes else set()
-        if x.tag == "article" and not names & HINTS - {"header", "sponsored", "promoted"} or x.attributes.get("itemprop") == "articleBody":
-            found.append((x, 0))
-            inside = True
-        elif x.tag == "main" or x.attributes.get("role") == "main":
-            found.append((x, 1))
-            inside = True
-        elif x is not root and unwanted(x, inside):
+        x, inside, within = stack.pop()
+        rank = None
+        if x is not top and is_article(x):
+            rank = 0
+        elif x is not top and (x.tag == "main" or x.attributes.get("role") == "main"):
+            rank = 1
+        elif x is not top and unwanted(x, inside):
             out.add(id(x))
             continue
-        elif x.tag in ("div", "section", "td") and names & CONTENT:
-            found.append((x, 2))
-            inside = True
-        stack.extend((y, inside) for y in reversed(x.items) if isinstance(y, Node))
-    best, text = None, ""
-    for rank in (0, 1, 2):
-        for node, r in found:
-            if r == rank:
-                here = "\n".join(blocks(node, out))
-                if len(here) > len(text):
-                    best, text = node, here
-        if best is not None:
+        elif x.tag in ("div", "section", "td") and x.attributes and set(x.names()) & CONTENT:
+            rank = 2
+        if rank is not None:
+            if rank not in within:
+                found.append((x, rank))
+            inside, within = True, (*within, rank)
+        stack.extend((y, inside, within) for y in reversed(x.items) if isinstance(y, Node))
+    return found
+
+
+def left_out(tree: Node) -> set[int]:
+    """The id() of every node in what tags, roles and classes leave out."""
+    out: set[int] = set()
+    candidates(tree, False, out)
+    every: set[int] = set()
+    stack = [(tree, False)]
+    while stack:
+        x, gone = stack.pop()
+        gone = gone or id(x) in out
+        if gone:
+            every.add(id(x))
+        stack.extend((y, gone) for y in x.items if isinstance(y, Node))
+    return every
+
+
+def joined(nodes: list[Node], out: set[int]) -> str:
+    return "\n".join(t for node in nodes for t in blocks(node, out))
+
+
+def extract(page: str, reference: str | None = None, root: int = -1, leave: list[int] | None = None) -> str:
+    tree = parse(page)
+    template: set[int] = set()
+    region = None
+    if reference and (root >= 0 or leave):
+        flags = set(leave or ())
+        for entry, number in align(compact(tree), reference_of(reference)):
+            if number == root:
+                region = entry.nodes[0]
+            if number in flags and not entry.kids:
+                template.update(map(id, entry.nodes))
+    if region is not None:
+        out = set(template)
+        inner = [x for x, rank in candidates(region, True, out) if rank == 0 and not is_article(region)]
+        if text := joined(inner or [region], out):
             return text
-    return "\n".join(blocks(root, out))
+    out = set(template)
+    found = candidates(tree, False, out)
+    for rank in (0, 1):
+        if text := joined([x for x, r in found if r == rank], out):
+            return text
+    return max((joined([x], out) for x, r in found if r == 2), key=len, default="") or joined([tree], out)
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def layout_of(html):
+    """A number of the page's layout: the body's class words, and whether it has a main and none, one or more articles."""
+    body = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_extract(html, r"(?i)<body\b[^>]*?\bclass\s*=\s*[\"']?([^\"'>]*)", 1)), F.lit(r"[a-z]+"), F.lit(0))))
+    return F.xxhash64(body, html.rlike(r"(?i)<main\b"), F.least(F.regexp_count(html, F.lit(r"(?i)<article\b")), F.lit(2)))
+
+
+SEEN = "host string, layout long, number int, digest long, identity long, size int, links int"
+
+
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, reference html and the numbers of the reference's constant nodes."""
+    """host, layout, reference html, the number of the content's root and those of the nodes to leave out."""
     some = pages.filter("host <> '' and html <> ''")
-    refs = scratch.save(some.groupBy("host").agg(F.min_by("html", F.xxhash64("html")).alias("reference")), "references")
+    refs = scratch.save(some.groupBy("host", "layout").agg(F.min_by("html", F.xxhash64("html")).alias("reference")), "references")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(text: str) -> int:
+        return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("number", pa.int32()), ("digest", pa.int64()), ("identity", pa.int64()), ("size", pa.int32()), ("links", pa.int32())])
         for batch in batches:
-            hosts, numbers, digests, sizes = [], [], [], []
-            for host, page, ref in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), batch["reference"].to_pylist(), strict=True):
-                for entry, number in align(compact(parse(page)), reference_of(ref)):
-                    if text := own_text(entry):
-                        hosts.append(host)
-                        numbers.append(number)
-                        digests.append(int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big", signed=True))
-                        sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(numbers, pa.int32()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64())], names=["host", "number", "digest", "size"])
-
-    seen = with_host(some.select("host", "html"), refs).mapInArrow(run, "host string, number int, digest long, size long")
-    texts = seen.groupBy("host", "number", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    nodes = texts.groupBy("host", "number").agg(F.max("n").alias("most"), F.sum("n").alias("pages"), F.sum("size").alias("size"))
-    share = F.col("most") / F.col("pages")
-    by_host = nodes.groupBy("host").agg(
-        F.max_by(share, F.col("size")).alias("slot_share"),
-        F.collect_list(F.when((share >= CONSTANT) & (F.col("pages") >= PAGES), F.col("number"))).alias("constant"),
-    )
-    by_host = by_host.withColumn("constant", F.when(F.col("slot_share") < 0.5, F.col("constant")).otherwise(F.array().cast("array<int>"))).drop("slot_share")
-    return scratch.save(refs.join(by_host, "host", "left"), "wrappers")
-
-
-def with_host(pages: DataFrame, small: DataFrame) -> DataFrame:
-    """Joins the wrappers, by broadcast only if they are within its bound."""
+            rows: list[tuple] = []
+            for host, layout, page, ref in zip(*(batch[c].to_pylist() for c in ("host", "layout", "html", "reference")), strict=True):
+                here = []
+                tree = parse(page)
+                named = left_out(tree)
+                for entry, number in align(compact(tree), reference_of(ref)):
+                    if id(entry.nodes[0]) not in named and (text := own_text(entry)):
+                        here.append((number, text, *characters(entry)))
+                if here:
+                    identity = digest(max((x[1] for x in here), key=len))
+                    rows.extend((host, layout, number, digest(text), identity, size, links) for number, text, size, links in here)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], schema=kinds)
+
+    # copies of one main text, on any pages of the host, count once
+    seen = with_wrapper(some.select("host", "layout", "html"), refs).mapInArrow(look, SEEN)
+    texts = seen.groupBy("host", "layout", "number", "digest", "identity").agg(F.max("size").alias("size"), F.max("links").alias("links"))
+    texts = texts.groupBy("host", "layout", "number", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("links").alias("links"))
+    nodes = texts.groupBy("host", "layout", "number").agg(F.max("n").alias("most"), F.sum("n").alias("pages"), (F.sum("size") / F.sum("n")).alias("size"), (F.sum("links") / F.sum("n")).alias("links"))
+    stats = nodes.groupBy("host", "layout").agg(F.collect_list(F.struct("number", "most", "pages", "size", "links")).alias("stats"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [induce(ref, [tuple(x.values()) for x in stats or ()]) for ref, stats in zip(batch["reference"].to_pylist(), batch["stats"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["host"], batch["layout"], batch["reference"], pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int32()))], names=["host", "layout", "reference", "root", "leave"])
+
+    induced = refs.join(stats, ["host", "layout"], "left").mapInArrow(make, "host string, layout long, reference string, root int, leave array<int>")
+    return scratch.save(induced, "wrappers")
+
+
+def with_wrapper(pages: DataFrame, small: DataFrame) -> DataFrame:
+    """Joins the references or wrappers, by broadcast only if they are within its bound."""
     size = small.agg(F.sum(F.length("reference"))).first()[0] or 0
-    return pages.join(F.broadcast(small) if size <= BROADCAST else small, "host", "left")
+    return pages.join(F.broadcast(small) if size <= BROADCAST else small, ["host", "layout"], "left")
 
 
 def extract_pages(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -387,11 +516,11 @@ def extract_pages(pages: DataFrame, scratch: Scratch) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
-                texts = [extract(page or "", ref, constant) for page, ref, constant in zip(part["html"].to_pylist(), part["reference"].to_pylist(), part["constant"].to_pylist(), strict=True)]
+                texts = [extract(page or "", ref, -1 if root is None else root, leave) for page, ref, root, leave in zip(*(part[c].to_pylist() for c in ("html", "reference", "root", "leave")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    pages = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html", host_of(pages["url"]).alias("host"))
-    return with_host(pages, wrappers(pages, scratch)).select("page_id", "url", "html", "reference", "constant").mapInArrow(run, "page_id long, url string, text string")
+    pages = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"], host_of(pages["url"]).alias("host"), layout_of(F.coalesce(pages["html"], F.lit(""))).alias("layout"))
+    return with_wrapper(pages, wrappers(pages, scratch)).select("page_id", "url", "html", "reference", "root", "leave").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op9_html_extract(spark, sf_dir: str) -> DataFrame:

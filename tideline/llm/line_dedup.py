@@ -1,23 +1,23 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Lines with words are hashed; at each line a window holds just as many lines as reach ``words`` words.
-The window's minimum hash is its fingerprint: any run of that many words repeated elsewhere holds a
-whole window, so both copies select the same minimum at the same place. Windows of equal fingerprint
-and equal content are joined with the first of them, by (doc_id, text hash, line); adjacent windows
-that matched an earlier one merge into runs, and the lines of such later runs are deleted. Lines
-outside them stay byte for byte.
-
-Windows from each line on leave the tail of a repeated run where less than ``words`` words follow a
-window's last line. ``whole`` adds the windows that end at each line. A least range of lines around a
-line that reaches ``words`` words starts there, ends there, or is a window of one of its ends, and
-equal ranges are such windows in every place; so a line then goes just when it lies in any run of
-``words`` words or more that stands earlier too: all maximal repeated runs go, with no pairs of copies
-made. ``op4_line_dedup`` and its SQL keep to the windows from each line on; the pipeline and
-``op4_line_dedup_whole`` delete whole runs.
-
-Defined cases: null text stays null; lines without words stay; rows equal in doc_id and text count
+Lines with words are hashed. At each line a window holds just as many lines as reach ``words`` words, and selects
+the position of its least hash, the rightmost of equal ones: the document's fingerprints, fewer than its lines. A run of that many words
+that stands in two places holds a whole window, so both places select the same fingerprint at the same line of it.
+
+Fingerprints are joined by hash, and those met in one place only drop out with their windows. A window about a
+fingerprint that is met elsewhere is extended line by line over the lines to its right that hold
+under ``words`` words after its first line (beyond, a later window takes over; to its left, the windows of earlier lines that selected it or their own fingerprint). Every step of this is a range
+of lines around the fingerprint, known by a digest of its lines. The first place of a range, by (doc_id,
+text hash, line), stays; in a later place its lines are deleted, but for those that the first place holds too where the two overlap. Ranges
+that touch merge into runs. So a line goes just when it lies in a run of ``words`` words or more that stands earlier
+without that line: all maximal repeated runs go, with their tails, and no pairs of copies are made. Lines outside them stay byte for byte.
+
+Lines are compared by 128 bits of SHA-256, and ranges by as many of their lines' digests: at 10**12 ranges unlike ones are
+taken for equal with a probability under 1e-14.
+
+Defined cases: null text stays null; lines without words stay, in a deleted run too; rows equal in doc_id and text count
 as one document, and each keeps what it keeps; null doc_ids are ordered first; an empty table
-gives an empty one; other columns pass through.
+gives an empty one; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,74 +25,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, fresh, table
 
 WORDS = 50
-KEY = ["__id", "__th"]
+KEY = ["id", "th"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(docs["text"])})
+    """KEY, text and all columns as ``row``, so that no name can clash."""
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"]
+    return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
-def windows(docs: DataFrame, words: int = WORDS, whole: bool = False) -> DataFrame:
-    """Per line that starts a full window: the window's last line, fingerprint and content hash. ``whole`` adds those that end at a line."""
-    lines = keyed(docs.select("doc_id", "text")).select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select(*KEY, "pos", F.xxhash64("line").alias("hash"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("n")).filter("n > 0")
+def digest(text):
+    """128 bits, in hex."""
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
+def marked(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Per line that starts a full window: the fingerprint it selects (position and hash), and the window and its
+    extensions to the right as ``ranges`` (last line, digest)."""
+    lines = keyed(docs).select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.select(*KEY, "pos", F.unhex(digest(F.col("line").cast("binary"))).alias("hash"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("n")).filter("n > 0")
     lines = lines.dropDuplicates([*KEY, "pos"])
     by_doc = Window.partitionBy(*KEY)
-    lines = lines.withColumn("before", F.sum("n").over(by_doc.orderBy("pos")) - F.col("n"))
-
-    def over(span, prefix: str = "") -> list:
-        return [
-            F.first("pos").over(span).alias(f"{prefix}pos"),
-            F.last("pos").over(span).alias(f"{prefix}end"),
-            F.sum("n").over(span).alias(f"{prefix}span_words"),
-            F.min("hash").over(span).alias(f"{prefix}fingerprint"),
-            F.xxhash64(F.collect_list("hash").over(span)).alias(f"{prefix}content"),
-        ]
-
-    names = ["pos", "end", "fingerprint", "content"]
-    ahead = over(by_doc.orderBy("before").rangeBetween(0, words - 1))
-    if not whole:
-        return lines.select(*KEY, *ahead).filter(F.col("span_words") >= words).select(*KEY, *names)
-    # lines are ordered alike by words before and up to them; those that end within words - 1 words of a line's end reach back to its window's start
-    lines = lines.withColumn("after", F.col("before") + F.col("n"))
-    out = lines.select(*KEY, "n", *ahead, *over(by_doc.orderBy("after").rangeBetween(-(words - 1), 0), "b_"))
-    # a window back that is also the one from its first line on is not needed again
-    pick = [
-        F.when(F.col("span_words") >= words, F.struct(*names)),
-        F.when((F.col("b_span_words") >= words) & (F.col("b_span_words") - F.col("n") >= words), F.struct(*[F.col(f"b_{c}").alias(c) for c in names])),
-    ]
-    return out.select(*KEY, F.explode(F.array_compact(F.array(*pick))).alias("w")).select(*KEY, "w.*")
-
-
-def repeated_runs(docs: DataFrame, scratch: Scratch, words: int = WORDS, whole: bool = False) -> DataFrame:
-    """Per document with any: its later repeated runs of lines."""
-    found = scratch.save(windows(docs, words, whole), "windows")
-    place = F.struct(*KEY, "pos")
-    first = found.groupBy("fingerprint", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    # both sides of the join come from files, so that a hot window's partition can be split
-    first = scratch.save(first, "first")
-    later = found.join(first, ["fingerprint", "content"]).filter(place > F.col("first")).select(*KEY, "pos", "end")
-    by_doc = Window.partitionBy(*KEY).orderBy("pos", "end")  # ends grow with starts
-    apart = F.coalesce((F.col("pos") > F.lag("end").over(by_doc) + 1).cast("int"), F.lit(1))
-    runs = later.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_doc))
-    runs = runs.groupBy(*KEY, "run").agg(F.min("pos").alias("a"), F.max("end").alias("b"))
-    return runs.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("__runs"))
-
-
-def dedup(docs: DataFrame, scratch: Scratch, words: int = WORDS, whole: bool = False) -> DataFrame:
-    """The documents with later repeated runs deleted from ``text``, and removed_lines."""
-    names = [c for c in docs.columns if c != "removed_lines"]
-    joined = keyed(docs.select(*names)).join(repeated_runs(docs, scratch, words, whole), KEY, "left")
+    lines = lines.withColumn("after", F.sum("n").over(by_doc.orderBy("pos"))).withColumn("before", F.col("after") - F.col("n"))
+    line = F.struct("pos", F.hex("hash").alias("hash"))
+    window = by_doc.orderBy("before").rangeBetween(0, words - 1)
+    reach = by_doc.orderBy("after").rangeBetween(0, words - 1)
+    at = lines.select(
+        *KEY,
+        "pos",
+        F.sum("n").over(window).alias("span_words"),
+        F.min(F.struct("hash", (-F.col("pos")).alias("minus"))).over(window).alias("least"),
+        F.collect_list(line).over(window).alias("window"),
+        F.collect_list(line).over(reach).alias("reach"),
+    ).filter(F.col("span_words") >= words)
+    # both start at this line, so the longer one holds the other
+    long = F.when(F.size("reach") > F.size("window"), F.col("reach")).otherwise(F.col("window"))
+    at = at.select(*KEY, "pos", "least", F.size("window").alias("k"), long.alias("long"))
+    upto = lambda k: F.array_join(F.transform(F.slice("long", 1, k), lambda x: x["hash"]), "")
+    ranges = F.transform(F.sequence("k", F.size("long")), lambda k: F.struct(F.element_at("long", k)["pos"].alias("end"), F.unhex(digest(upto(k).cast("binary"))).alias("digest")))
+    return at.select(*KEY, F.col("pos").alias("start"), (-F.col("least.minus")).alias("mark"), F.col("least.hash").alias("hash"), ranges.alias("ranges"))
+
+
+def repeated_runs(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+    """Per document with any: its later repeated runs of lines, as KEY and ``runs``."""
+    marks = scratch.save(marked(docs, words), "marks")
+    mark = F.struct(*KEY, "mark")
+    met = scratch.save(marks.groupBy("hash").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).filter("x <> y").select("hash"), "met")
+    # both sides of the joins come from files, so that a hot line's or range's partition can be split
+    ranges = scratch.save(marks.join(met, "hash", "left_semi").select(*KEY, "start", F.explode("ranges").alias("r")).select(*KEY, "start", "r.*"), "ranges")
+    place = F.struct(*KEY, "start", "end")
+    first = scratch.save(ranges.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first")
+    own = (F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    later = ranges.join(first, "digest").filter(place > F.col("first"))
+    later = later.select(*KEY, F.when(own, F.greatest("start", F.col("first.end") + 1)).otherwise(F.col("start")).alias("a"), F.col("end").alias("b")).filter("a <= b")
+    by_doc = Window.partitionBy(*KEY).orderBy("a", "b")
+    before = F.max("b").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("apart", F.coalesce((F.col("a") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("apart").over(by_doc))
+    runs = runs.groupBy(*KEY, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+
+
+def dedup(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+    """The documents with later repeated runs deleted from ``text``, and the count of removed lines, last, as removed_lines
+    (with underscores added while the documents have that name)."""
+    joined = keyed(docs).join(repeated_runs(docs, scratch, words), KEY, "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("__runs", lambda r: i.between(r["a"], r["b"])))
-    joined = joined.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept))
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    removed = F.when(F.col("__runs").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__kept")).cast("long")
-    out = joined.withColumns({"__text": text, "removed_lines": removed})
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in names], "removed_lines")
+    kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["a"], r["b"])) | ~x.rlike(WORD))
+    joined = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    removed = F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("kept")).cast("long")
+    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns], removed.alias(fresh(docs, "removed_lines")))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -100,19 +105,20 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(docs, Scratch(spark, "op4")).select("doc_id", "text", "removed_lines")
 
 
-def op4_line_dedup_whole(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs, Scratch(spark, "op4"), whole=True).select("doc_id", "text", "removed_lines")
-
-
+#: The same runs by all ranges that start or end at a line, compared by their lines.
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
-b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS BIGINT) AS before FROM n WHERE n > 0),
+a AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS after FROM n WHERE n > 0),
+b AS (SELECT *, after - n AS before FROM a),
 w AS (SELECT doc_id, pos, last(pos) OVER s AS stop, list(line) OVER s AS content, sum(n) OVER s AS span FROM b
       WINDOW s AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-r AS (SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM w WHERE span >= 50),
-gone AS (SELECT DISTINCT l.doc_id, l.pos FROM r JOIN l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.stop WHERE r.k > 1),
+v AS (SELECT doc_id, first(pos) OVER s AS pos, pos AS stop, list(line) OVER s AS content, sum(n) OVER s - n AS span FROM b
+      WINDOW s AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+u AS (SELECT * FROM w WHERE span >= 50 UNION ALL SELECT * FROM v WHERE span >= 50),
+r AS (SELECT doc_id, pos, stop, first(doc_id) OVER o AS first_doc, first(stop) OVER o AS first_stop, row_number() OVER o AS k FROM u WINDOW o AS (PARTITION BY content ORDER BY doc_id, pos)),
+gone AS (SELECT DISTINCT b.doc_id, b.pos FROM r JOIN b ON b.doc_id = r.doc_id
+         AND b.pos BETWEEN CASE WHEN r.doc_id = r.first_doc THEN greatest(r.pos, r.first_stop + 1) ELSE r.pos END AND r.stop WHERE r.k > 1),
 t AS (SELECT l.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS text, count(g.pos) AS removed_lines
       FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(t.removed_lines, 0) AS removed_lines FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id

@@ -346,10 +346,10 @@ def dedup(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
     groups = near_groups(docs, scratch, words).filter("kept")
     # rows of one doc_id in one group with different texts: the least text hash stays. Groups go by label: unlike texts can
     # share a doc_id, or have none; texts without words are like no other
-    stay = groups.groupBy("key", "label", F.when(F.col("n_shingles") == 0, F.col("th")).alias("own")).agg(F.min("th").alias("th")).select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
-    names = docs.columns
-    keyed = docs.withColumns({"__key": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(text_of(docs))})
-    return keyed.join(scratch.save(stay, "stay"), ["__key", "__th"], "left_semi").dropDuplicates(["__key", "__th"]).select(*names)
+    stay = groups.groupBy("key", "label", F.when(F.col("n_shingles") == 0, F.col("th")).alias("own")).agg(F.min("th").alias("th")).select("key", "th").distinct()
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text_of(docs)).alias("th"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = rows.join(scratch.save(stay, "stay"), ["key", "th"], "left_semi").dropDuplicates(["key", "th"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

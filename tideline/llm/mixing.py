@@ -68,12 +68,13 @@ def copies_of(sized: DataFrame, by: DataFrame, seed: str = SEED) -> DataFrame:
 
 def copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns."""
-    names = docs.columns
-    by = targets(docs.select("source", size_of(docs["text"]).alias("size"))).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = docs.join(by, F.col("source").eqNullSafe(F.col("__source")), "left")
-    whole = F.floor("__rate")
-    n = (whole + F.when(draw(F.col("doc_id"), seed) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
-    return joined.withColumn("__copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*names)
+    by = targets(docs.select("source", size_of(docs["text"]).alias("size"))).select(F.col("source").alias("of_source"), "rate")
+    rows = docs.select(docs["doc_id"].alias("id"), docs["source"].alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(by, F.col("source").eqNullSafe(F.col("of_source")), "left")
+    whole = F.floor("rate")
+    n = (whole + F.when(draw(F.col("id"), seed) < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    taken = joined.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_language_id": language.op3_language_id,
     "op4_line_dedup": line_dedup.op4_line_dedup,
-    "op4_line_dedup_whole": line_dedup.op4_line_dedup_whole,
     "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_top_k": topk.op6_top_k,
     "op7_near_dedup": minhash.op7_near_dedup,

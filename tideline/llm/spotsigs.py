@@ -1,13 +1,14 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
 A spot signature is a common word (an anchor) with the chain of up to ``CHAIN`` content words after
-it, up to the next anchor. A document's fingerprint is its set of signatures, as sorted 32-bit hashes
-(crc32); a text with words but no signature has its whole text as one. ``likeness`` is the Jaccard
+it, up to the next anchor. A document's fingerprint is its set of signatures, as sorted 64-bit hashes;
+a text with words but no signature has its whole text as one. The anchors are a fixed list, so that
+fingerprints of different tables and of a growing table compare. ``likeness`` is the Jaccard
 similarity of two sets, with pruning by set length where a threshold is asked for; ``near_pairs`` deals
 documents by ranges of set length and compares those that share a signature of their prefix.
 
 Null texts are empty, with an empty set; two empty sets are alike (1), an empty and another not (0). Repeated rows
-have equal fingerprints; an empty table gives an empty one; other columns pass through.
+have equal fingerprints; an empty table gives an empty one; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import Scratch, fresh, table, text_of
 
 CHAIN = 3
 #: Common words of English, French, German and Spanish.
@@ -51,14 +52,13 @@ def signatures(text: Column) -> Column:
     """Sorted distinct hashes of a text's spot signatures."""
     plain = F.regexp_replace(F.translate(F.lower(text), SIGNS, " " * len(SIGNS)), rf"{SPACE}+", " ")
     spots = F.regexp_extract_all(plain, F.lit(pattern()), F.lit(0))
-    whole = F.when(F.trim(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.crc32(text.cast("binary"))))
-    hashes = F.transform(spots, lambda s: F.crc32(s.cast("binary")))
-    return F.when(F.size(spots) > 0, F.array_sort(F.array_distinct(hashes))).otherwise(whole)
+    whole = F.when(F.trim(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text)))
+    return F.when(F.size(spots) > 0, F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.xxhash64(s))))).otherwise(whole)
 
 
 def fingerprint(sigs: Column) -> Column:
-    """Eight hex digits for each signature."""
-    return F.lower(F.array_join(F.transform(sigs, lambda h: F.substring(F.hex(h + F.lit(1 << 32)), 2, 8)), ""))
+    """Sixteen hex digits for each signature."""
+    return F.lower(F.array_join(F.transform(sigs, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -70,12 +70,13 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def spotsigs(docs: DataFrame) -> DataFrame:
-    """The documents with ``signatures`` and ``fingerprint``."""
-    sigs = docs.withColumn("signatures", signatures(text_of(docs)))
-    return sigs.withColumn("fingerprint", fingerprint(F.col("signatures")))
+    """The documents with ``signatures`` and ``fingerprint`` last (with underscores added while the documents have these names)."""
+    sigs = fresh(docs, "signatures")
+    out = docs.withColumn(sigs, signatures(text_of(docs)))
+    return out.withColumn(fresh(docs, "fingerprint"), fingerprint(F.col(sigs)))
 
 
-def near_pairs(prints: DataFrame, scratch, least: float = 0.8) -> DataFrame:
+def near_pairs(prints: DataFrame, scratch: Scratch, least: float = 0.8) -> DataFrame:
     """a, b (doc_id, a < b) and likeness of the pairs of different sets at ``least`` or more, among representatives
     (smallest doc_id) of equal fingerprints. Sets are dealt by length: one of n signatures can only match lengths from least * n,
     a range spanning two classes of ratio 1 / least at most; and a match shares one of the first n - ceil(least * n) + 1 hashes."""
@@ -93,28 +94,50 @@ def near_pairs(prints: DataFrame, scratch, least: float = 0.8) -> DataFrame:
 
 # -- the next document ----------------------------------------------------------------------------
 
-#: Ids to a range: 2 ** 10.
-RANGE_BITS = 10
+#: Rows to a range, and the most ranges.
+RANGE, RANGES = 4096, 100_000
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the next document's text, by descending doc_id (null last), then descending text hash; the last's next is the first.
+def ranged(rows: DataFrame) -> Column:
+    """A number that rises with (key, tie), about ``RANGE`` rows each, by quantiles of the whole table's keys. A key that makes up several ranges is split by
+    its ties, which are hashes of texts; only rows equal in key and text can't be."""
+    n = min(RANGES, rows.count() // RANGE)
+    if not n:
+        return F.lit(0)
+    cuts = rows.agg(F.percentile_approx("key", [(i + 1) / (n + 1) for i in range(n)], max(10_000, 4 * n)).alias("c")).first()["c"]
+    known = F.split(F.lit(",".join(map(str, sorted(cuts)))), ",").cast("array<bigint>")  # folded to one literal
 
-    Documents are dealt by ranges of 2 ** ``RANGE_BITS`` ids; the head of each range is copied to the end of the
-    one before it, so that a window over one range sees every neighbour."""
+    def cuts_where(holds) -> Column:
+        """How many of the sorted cuts hold, by binary search."""
+        steps = F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(holds(F.get(known, at + step - 1)), F.lit(False)), at + step).otherwise(at))
+
+    low, high = cuts_where(lambda c: c < F.col("key")), cuts_where(lambda c: c <= F.col("key"))
+    share = F.col("tie").cast("double") / F.lit(2.0**64) + 0.5
+    within = F.least(F.floor(share * (high - low)).cast("int"), high - low - 1) + 1
+    return F.when(high - low > 1, low + within).otherwise(high)
+
+
+def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text and signatures ``s`` of every row, and next_text and next_s of the next, by descending doc_id (null last), then descending text hash; the last's next is the first.
+
+    Rows are dealt by ranges of ids; the head of each range is copied to the end of the
+    one before it, so that a window over one range sees every neighbour. Signatures are made once for each row."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(2**63))), "tie": F.xxhash64("text")})
-    rows = rows.withColumn("range", F.shiftright("key", RANGE_BITS))
+    rows = rows.withColumn("range", ranged(rows))
     heads = rows.groupBy("range").agg(F.max(F.struct("key", "tie")).alias("head"))
-    # one row for each range of ids
+    # one row for each range, RANGES at most
     down = Window.orderBy(F.desc("range"))
     last = F.min("range").over(Window.partitionBy())
     heads = heads.select(F.coalesce(F.lag("range").over(down), last).alias("range"), F.col("head.key").alias("key"), F.col("head.tie").alias("tie"))
-    # where ranges have one head, hash and id find its text; Spark broadcasts the heads only under its threshold
-    tails = rows.select("doc_id", "text", "key", "tie").join(heads, ["key", "tie"]).withColumn("tail", F.lit(1))
-    both = rows.withColumn("tail", F.lit(0)).unionByName(tails)
+    # read from a file, whose size is known, Spark broadcasts the heads only under its threshold
+    heads = scratch.save(heads, "heads")
+    tails = rows.drop("range").join(heads, ["key", "tie"]).withColumn("tail", F.lit(1))
+    both = [x.withColumn("s", signatures(F.col("text"))) for x in (rows.withColumn("tail", F.lit(0)), tails)]
     order = Window.partitionBy("range").orderBy("tail", F.desc("key"), F.desc("tie"))
-    return both.withColumn("next_text", F.lead("text").over(order)).filter("tail = 0").select("doc_id", "text", "next_text")
+    out = both[0].unionByName(both[1]).withColumns({"next_text": F.lead("text").over(order), "next_s": F.lead("s").over(order)})
+    return out.filter("tail = 0").select("doc_id", "text", "s", "next_text", "next_s")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -124,6 +147,6 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def op5_spotsigs(spark, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("s"), signatures(F.col("edited")).alias("e"), signatures(F.col("next_text")).alias("n"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("s"), F.col("n")).alias("near_next"))
+    rows = with_next(table(spark, sf_dir, "documents"), Scratch(spark, "op5")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "s", signatures(F.col("edited")).alias("e"), "next_s")
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("s"), F.col("next_s")).alias("near_next"))

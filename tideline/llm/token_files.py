@@ -91,7 +91,7 @@ def decode_segments(segments: DataFrame) -> DataFrame:
 def write(docs: DataFrame, scratch: Scratch, path: str | None = None, end_id: int = 2, shards: int | None = None) -> DataFrame:
     """The written segments, reread."""
     if not shards:
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # a Scala or a plain integer
         shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     return scratch.save(encode_shards(docs, path or default_path(), end_id, shards), "token-segments")
 
