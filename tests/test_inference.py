@@ -20,27 +20,48 @@ def sharpe(x: np.ndarray) -> float:
     return x.mean() / x.std(ddof=1) * 252**0.5
 
 
+def metrics(x: np.ndarray, net: np.ndarray) -> dict[str, float]:
+    wealth = np.cumprod(1 + net)
+    down = (wealth / np.maximum.accumulate(wealth) - 1).min()
+    growth = wealth[-1] ** (252 / len(net)) - 1
+    return {"sharpe": sharpe(x), "sortino": x.mean() / np.sqrt((np.minimum(x, 0) ** 2).mean()) * 252**0.5, "ann_vol": net.std(ddof=1) * 252**0.5, "cagr": growth, "max_drawdown": down, "calmar": growth / abs(down)}
+
+
+def sources(block: int, n: int, reps: int) -> dict[int, list[int]]:
+    out = {}
+    for rep in range(reps):
+        src, at = [], 0
+        for pos in range(n):
+            at = int(uniform(rep, pos, "at") * n) if pos == 0 or uniform(rep, pos, "new") < 1 / block else (at + 1) % n
+            src.append(at)
+        out[rep] = src
+    return out
+
+
 def test_every_day_and_replicate(spark, monkeypatch):
     rng = np.random.default_rng(21)
     a, b = rng.normal(0.0003, 0.01, N), rng.normal(0.0005, 0.012, N)
     b[500:] += 0.01
+    na, nb = a + 0.0002, b + 0.0001
     day = dt.date(2020, 1, 1)
-    pairs = spark.createDataFrame([(day + dt.timedelta(i), float(a[i]), float(b[i])) for i in range(N)], "date date, a double, b double").repartition(3)
+    pairs = spark.createDataFrame([(day + dt.timedelta(i), *map(float, (a[i], b[i], na[i], nb[i]))) for i in range(N)], "date date, a double, b double, net_a double, net_b double").repartition(3)
     assert study.DRAWS == 10_000
     monkeypatch.setattr(study, "paired", lambda spark, d: pairs)
     monkeypatch.setattr(study, "DRAWS", REPS)
-    want, indices = {}, set()
-    for rep in range(REPS):
-        src, at = [], 0
-        for pos in range(N):
-            at = int(uniform(rep, pos, "at") * N) if pos == 0 or uniform(rep, pos, "new") < 1 / 21 else (at + 1) % N
-            src.append(at)
-        indices |= {(rep, pos, x) for pos, x in enumerate(src)}
-        want[rep] = sharpe(b[src]) - sharpe(a[src])
-    assert {tuple(r) for r in study.QUERIES["bootstrap_indices_whole"](spark, "").select("rep", "pos", "src").collect()} == indices
-    got = {r.rep: r.value for r in study.QUERIES["bootstrap_draws_whole"](spark, "").filter("metric = 'sharpe'").collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
-    row = study.QUERIES["bootstrap_intervals_whole"](spark, "").filter("metric = 'sharpe'").first()
-    values = np.array([want[r] for r in range(REPS)])
-    assert row.n_draws == REPS and abs(row.observed - (sharpe(b) - sharpe(a))) < 1e-5
-    assert np.allclose([row.ci_low, row.ci_high], np.quantile(values, [0.025, 0.975]), atol=1e-5)
+    src = sources(21, N, REPS)
+    of = lambda i: {m: y - x for (m, x), y in zip(metrics(a[i], na[i]).items(), metrics(b[i], nb[i]).values(), strict=True)}
+    want = {(rep, m): v for rep, i in src.items() for m, v in of(i).items()}
+    digests = {(r.rep, r.n, r.total, r.weighted, r.days) for r in study.QUERIES["bootstrap_indices"](spark, "").collect()}
+    assert digests == {(rep, N, sum(i), sum(p * x for p, x in enumerate(i)), len(set(i))) for rep, i in src.items()}
+    got = {(r.rep, r.metric): r.value for r in study.QUERIES["bootstrap_draws"](spark, "").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
+    seen = of(np.arange(N))
+    for row in study.QUERIES["bootstrap_intervals"](spark, "").collect():
+        values = np.array([want[r, row.metric] for r in range(REPS)])
+        assert row.n_draws == REPS and abs(row.observed - seen[row.metric]) < 2e-5
+        assert np.allclose([row.ci_low, row.ci_high], np.quantile(values, [0.025, 0.975]), atol=2e-5)
+    block = {r.mean_block_days: r for r in study.QUERIES["block_sensitivity"](spark, "").collect()}
+    assert set(block) == {21, 10, 42, 63} and block[21].role == "primary"
+    for k in (10, 63):
+        values = [sharpe(b[i]) - sharpe(a[i]) for i in sources(k, N, REPS).values()]
+        assert abs(block[k].bootstrap_sd - np.std(values, ddof=1)) < 1e-5

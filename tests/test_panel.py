@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,11 +53,29 @@ def test_causality(spark, build):
     assert align.causal_gap(build, panel, "1997-06-30", ["asset", "date"], "x") < 1e-12
 
 
-def test_two_forms_of_the_recursion_agree(spark):
+def test_closed_form_is_the_recursion(spark):
     r = core.returns(spark, SF)
-    a, b = risk.ewma_variance(r), risk.ewma_variance_closed(r).withColumnRenamed("ewma_variance", "closed")
-    n, gap = a.join(b, ["asset", "date"]).agg(F.count(F.lit(1)), F.max(F.abs(F.col("ewma_variance") / F.col("closed") - 1))).first()
-    assert n == a.count() and gap < 1e-9
+    got = {(x.asset, x.date): x.ewma_variance for x in risk.ewma_variance_closed(r).collect()}
+    by: dict = {}
+    for x in r.orderBy("asset", "date").collect():
+        by.setdefault(x.asset, []).append((x.date, x.r))
+    want = {}
+    for asset, rows in by.items():
+        v = statistics.variance(x for _, x in rows[: risk.SEED_OBS])
+        for date, x in rows[risk.SEED_OBS - 1 :]:
+            v = risk.LAMBDA * v + (1 - risk.LAMBDA) * x * x
+            want[asset, date] = v
+    assert got.keys() == want.keys() and all(abs(got[k] / v - 1) < 1e-9 for k, v in want.items())
+
+
+def test_read_off_and_holding_days(spark):
+    rows = spark.createDataFrame([(DAY[i], a, float(10 * i)) for i in (0, 2, 3, 7, 8) for a in "AB"], "date date, asset string, price double")
+    origins = spark.createDataFrame([(DAY[1], DAY[3]), (DAY[3], DAY[8])], "date date, next_date date")
+    out = {(r.origin, r.asset): r.price for r in align.read_off(rows, origins, "asset").collect()}
+    assert out == {(DAY[1], a): 0.0 for a in "AB"} | {(DAY[3], a): 30.0 for a in "AB"}
+    held = {(r.date, r.origin) for r in align.holding_days(origins, rows).collect()}
+    assert held == {(DAY[2], DAY[1]), (DAY[3], DAY[1]), (DAY[7], DAY[3]), (DAY[8], DAY[3])}
+    assert [r.date for r in align.common_days(rows, rows.filter("price > 20")).orderBy("date").collect()] == [DAY[3], DAY[7], DAY[8]]
 
 
 def test_stale_runs(spark):

@@ -117,15 +117,31 @@ def macro_name(key: Column) -> Column:
     for i, word in enumerate(digits):
         spelt = F.replace(spelt, F.lit(str(i)), F.lit(f"_{word}_"))
     parts = F.filter(F.split(spelt, "[^A-Za-z]+"), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, F.lower(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10000)))), "")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, F.lower(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))), "")
 
 
-#: What a released text must not hold. Fixed values.
+#: Symbols that are written as mathematics. Fixed values.
+SYMBOLS = {"Δ": r"$\Delta$", "κ": r"$\kappa$", "σ": r"$\sigma$", "μ": r"$\mu$", "α": r"$\alpha$", "λ": r"$\lambda$", "Σ": r"$\Sigma$", "−": "$-$", "×": r"$\times$", "≤": r"$\leq$", "≥": r"$\geq$"}
+
+
+def tex(text: Column) -> Column:
+    """Escaped, and symbols as mathematics, in one look at each character."""
+    table = F.create_map(*[F.lit(x) for pair in (TEX | SYMBOLS).items() for x in pair])
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
+#: What a released text must not hold. Fixed values, but for ipv4, which is this engine's own.
 PERSONAL = {
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{16,}",
+    "slack_token": r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    "sk_key": r"sk-[A-Za-z0-9]{20,}",
+    "sk_ant_key": r"sk-ant-[A-Za-z0-9-]{20,}",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH |PGP )?PRIVATE KEY",
+    "assignment": r"(?i)(password|passwd|secret|api[_-]?key|token)\s*[:=]\s*['\"][^'\"\s]{8,}['\"]",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}",
+    "phone": r"\(?\b\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
+    "street_address": r"\b\d{1,5}\s+[A-Z][a-z]+\s+(Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b",
     "ipv4": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    "aws_key": r"AKIA[0-9A-Z]{16}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
 NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"

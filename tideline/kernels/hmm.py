@@ -27,32 +27,61 @@ def log_density(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return np.swapaxes(-0.5 * (z**2).sum(axis=2) - half[:, :, None] - 0.5 * d * np.log(2 * np.pi), 1, 2)
 
 
+def _through(a: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """a @ p on the last axis, for the few states of a model."""
+    out = a[..., 0, None] * p[..., 0, :]
+    for i in range(1, p.shape[-1]):
+        out += a[..., i, None] * p[..., i, :]
+    return out
+
+
 def forward_backward(logb: np.ndarray, pi: np.ndarray, p: np.ndarray):
-    """Scaled recursions: filtered and smoothed posteriors, expected transitions, log-likelihoods."""
+    """Scaled recursions: filtered and smoothed posteriors, expected transitions, log-likelihoods.
+
+    Time is cut into about sqrt(T) blocks that step side by side: a product of transitions and densities carries a block's
+    start to its end, so that about sqrt(T) steps of each recursion do the work of T. Steps added at the end have density 1."""
     s, t_max, k = logb.shape
     top = logb.max(axis=2)
-    b = np.exp(logb - top[:, :, None])
-    alpha, scale = np.empty((t_max, s, k)), np.empty((t_max, s))
-    bt = np.ascontiguousarray(np.swapaxes(b, 0, 1))
-    a = pi * bt[0]
-    for t in range(t_max):
-        if t:
-            a = np.matmul(a[:, None], p)[:, 0] * bt[t]
-        scale[t] = a.sum(axis=1)
-        a = a / scale[t][:, None]
-        alpha[t] = a
-    beta = np.empty_like(alpha)
-    beta[-1] = 1.0
-    scaled, back = bt / scale[:, :, None], np.ascontiguousarray(np.swapaxes(p, 1, 2))
-    b = beta[-1]
-    for t in range(t_max - 2, -1, -1):
-        b = np.matmul((b * scaled[t + 1])[:, None], back)[:, 0]
-        beta[t] = b
-    xi = np.einsum("tsi,tsj->sij", alpha[:-1], scaled[1:] * beta[1:])
+    length = max(1, int(np.ceil(np.sqrt(t_max))))
+    n = -(-t_max // length)
+    b = np.ones((n * length, s, k))
+    b[:t_max] = np.swapaxes(np.exp(logb - top[:, :, None]), 0, 1)
+    b = np.ascontiguousarray(b.reshape(n, length, s, k).swapaxes(0, 1))  # (step, block, start, state)
+    first = np.repeat(p[None], n, axis=0)
+    first[0] = pi[:, None, :]  # whatever comes before the series, its first state is drawn from pi
+    carry = _through(np.repeat(np.eye(k)[None, None], s, axis=1), first[:, :, None]) * b[0][:, :, None]
+    for i in range(1, length):
+        carry = _through(carry, p[:, None]) * b[i][:, :, None]
+        carry /= carry.sum(axis=(2, 3), keepdims=True)
+    before, after = np.empty((n, s, k)), np.empty((n, s, k))
+    a = np.full((s, k), 1 / k)
+    for j in range(n):
+        before[j] = a
+        a = _through(a, carry[j])
+        a /= a.sum(axis=1, keepdims=True)
+    z = np.ones((s, k))
+    for j in range(n - 1, -1, -1):
+        after[j] = z
+        z = (carry[j] * z[:, None]).sum(axis=2)
+        z /= z.sum(axis=1, keepdims=True)
+    alpha, beta, scale = np.empty_like(b), np.empty_like(b), np.empty((length, n, s))
+    a = before
+    for i in range(length):
+        a = _through(a, p if i else first) * b[i]
+        scale[i] = a.sum(axis=2)
+        a /= scale[i][:, :, None]
+        alpha[i] = a
+    back, z = np.swapaxes(p, 1, 2), after
+    for i in range(length - 1, -1, -1):
+        beta[i] = z
+        z = _through(b[i] * z, back)
+        z /= z.sum(axis=2, keepdims=True)
+    alpha, beta, b, scale = (x.swapaxes(0, 1).reshape(n * length, *x.shape[2:])[:t_max] for x in (alpha, beta, b, scale))
     gamma = alpha * beta
-    gamma /= gamma.sum(axis=2, keepdims=True)
+    mass = gamma.sum(axis=2, keepdims=True)
+    xi = np.einsum("tsi,tsj->sij", alpha[:-1], (b * beta / (mass * scale[:, :, None]))[1:])
     loglik = np.log(scale).sum(axis=0) + top.sum(axis=1)
-    return np.swapaxes(alpha, 0, 1), np.swapaxes(gamma, 0, 1), xi * p, loglik
+    return np.swapaxes(alpha, 0, 1), np.swapaxes(gamma / mass, 0, 1), xi * p, loglik
 
 
 def start(x: np.ndarray, k: int, seed: int):

@@ -68,33 +68,58 @@ def min_variance(cov: np.ndarray, cap: float = 1.0) -> np.ndarray | None:
     return best / best.sum()
 
 
-def ledoit_wolf(x: np.ndarray) -> np.ndarray:
-    """Covariance of the rows shrunk to a multiple of the identity."""
+def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Covariance of the rows shrunk to a multiple of the identity, and the intensity."""
     c = x - x.mean(axis=0)
     n, p = c.shape
     s, f = c.T @ c / n, (c**2).T @ c**2 / n
     mu = np.trace(s) / p
     delta = ((s**2).sum() - p * mu**2) / p
     rho = min((f.sum() - (s**2).sum()) / (p * n), delta) / delta if delta > 0 else 0.0
-    return (1 - rho) * s + rho * mu * np.eye(p)
+    return (1 - rho) * s + rho * mu * np.eye(p), float(rho)
 
 
-def mixture(x: np.ndarray, gamma: np.ndarray, lw: np.ndarray, now: np.ndarray, transition: np.ndarray, kappa: float, between: bool, horizon: int = 21) -> np.ndarray:
-    """Covariances of the states, each shrunk to ``lw`` by its effective size over that plus kappa, weighted by the mean state
-    probability of the next days; with the spread of the states' means too if ``between``."""
-    ahead, total = now, np.zeros_like(now)
+def weighted(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covariance around the weighted mean, and that mean."""
+    mu = weight @ x / weight.sum()
+    c = x - mu
+    return (c * weight[:, None]).T @ c / weight.sum(), mu
+
+
+def ahead(now: np.ndarray, transition: np.ndarray, horizon: int) -> np.ndarray:
+    """Mean state probability of the next days, for any number of states."""
+    if horizon < 1:
+        raise ValueError("a horizon has at least one day")
+    total = np.zeros_like(now)
     for _ in range(horizon):
-        ahead = ahead @ transition
-        total = total + ahead
-    weight = total / horizon
-    size = gamma.sum(axis=0)
-    alpha = size**2 / (gamma**2).sum(axis=0)
-    alpha = alpha / (alpha + kappa)
-    mu = gamma.T @ x / size[:, None]
-    out = np.zeros_like(lw)
+        now = now @ transition
+        total = total + now
+    return total / horizon
+
+
+def symmetrize(m: np.ndarray) -> np.ndarray:
+    return (m + m.T) / 2
+
+
+def estimators(x: np.ndarray, gamma: np.ndarray, now: np.ndarray, transition: np.ndarray, fallback: bool, kappa: float = 60.0, between: bool = False, horizon: int = 21, lam: float = 0.94) -> tuple[dict[str, tuple[np.ndarray, dict]], np.ndarray, float]:
+    """Each estimator's matrix with its state, effective size and intensity; the mean state probabilities ahead; and the
+    relative norm of the spread of the states' means, which joins the mixture only if ``between``. What is consumed is the mixture, or Ledoit-Wolf where the fit falls back."""
+    lw, rho = ledoit_wolf(x)
+    out: dict[str, tuple[np.ndarray, dict]] = {"sample": (np.cov(x.T), {}), "ewma": (weighted(x, lam ** np.arange(len(x) - 1, -1, -1))[0], {}), "ledoit_wolf": (lw, {"intensity": rho})}
+    weight = ahead(now, transition, horizon)
+    size = gamma.sum(axis=0) ** 2 / (gamma**2).sum(axis=0)
+    within, means = np.zeros_like(lw), []
     for k, w in enumerate(weight):
-        c = x - mu[k]
-        out += w * (alpha[k] * ((c * gamma[:, k : k + 1]).T @ c / size[k]) + (1 - alpha[k]) * lw)
-        if between:
-            out += w * np.outer(mu[k] - weight @ mu, mu[k] - weight @ mu)
-    return out
+        raw, mu = weighted(x, gamma[:, k])
+        alpha = size[k] / (size[k] + kappa)
+        shrunk = alpha * raw + (1 - alpha) * lw
+        out[f"state_{k}_raw"] = raw, {"state": k, "n_eff": float(size[k])}
+        out[f"state_{k}_shrunk"] = shrunk, {"state": k, "n_eff": float(size[k]), "intensity": float(alpha)}
+        within = within + w * shrunk
+        means.append(mu)
+    means = np.array(means)
+    spread = (means - weight @ means).T * weight @ (means - weight @ means)
+    norm = float(np.linalg.norm(spread) / np.linalg.norm(within))
+    out["regime_mixture"] = symmetrize(within + spread if between else within), {}
+    out["consumed"] = out["ledoit_wolf" if fallback else "regime_mixture"][0], {}
+    return out, weight, norm

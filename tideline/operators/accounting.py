@@ -53,27 +53,33 @@ def risk_free(days: DataFrame, rates: DataFrame, value: str = "rate") -> DataFra
 
 def performance(net: DataFrame, rf: DataFrame, *keys: str) -> DataFrame:
     """Growth, volatility, ratios, drawdown, tails and turnover of each key's net returns."""
-    rows = net.join(F.broadcast(rf), "date", "left").withColumn("x", F.col("net_return") - F.coalesce("rf", F.lit(0.0)))
+    rows = net.join(rf, "date", "left").withColumn("x", F.col("net_return") - F.coalesce("rf", F.lit(0.0)))
     rows = rows.withColumn("dd", F.col("wealth") / F.greatest(F.max("wealth").over(C.expanding(*keys)), F.lit(1.0)) - 1)
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"), F.max_by("wealth", "date").alias("final_wealth"), F.datediff(F.max("date"), F.min("date")).alias("d"), (F.stddev_samp("net_return") * DAYS**0.5).alias("ann_vol"),
         (F.try_divide(F.avg("x"), F.stddev_samp("x")) * DAYS**0.5).alias("sharpe"), (F.try_divide(F.avg("x"), F.sqrt(F.avg(F.least("x", F.lit(0.0)) ** 2))) * DAYS**0.5).alias("sortino"),
         F.min("dd").alias("max_drawdown"), F.percentile("net_return", 0.05).alias("q05"), F.sum("full_trade_sum").alias("traded"), F.sum("cost_fraction").alias("paid"),
     )
-    tail = rows.join(F.broadcast(out.select(*keys, "q05")), list(keys)).filter("net_return <= q05").groupBy(*keys).agg((-F.avg("net_return")).alias("es95"))
+    tail = rows.join(out.select(*keys, "q05"), list(keys)).filter("net_return <= q05").groupBy(*keys).agg((-F.avg("net_return")).alias("es95"))
     years = F.col("n_days") / DAYS
     out = out.join(tail, list(keys)).withColumn("cagr", F.when(F.col("d") > 0, F.pow("final_wealth", F.lit(365.25) / F.col("d")) - 1))
     return out.withColumns({"calmar": F.try_divide("cagr", F.abs("max_drawdown")), "var95": -F.col("q05"), "ann_turnover": F.col("traded") / years, "ann_cost": F.col("paid") / years}).drop("d", "q05", "traded", "paid")
 
 
-def safeguards(net: DataFrame) -> DataFrame:
-    """Checks on net returns: free trading equals gross, wealth falls with cost, all have the same dates."""
+def safeguards(net: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """Checks on net returns: free trading equals gross, wealth falls with cost, all have the same dates; with a performance summary, its growth is that of the returns."""
     free = net.filter("cost_bps = 0").agg(F.max(F.abs(F.col("net_return") - F.col("gross_return"))).alias("gap")).select(F.lit("zero_cost_equals_gross").alias("check"), (F.col("gap") < 1e-12).alias("ok"))
     ends = net.groupBy("strategy", "cost_bps").agg(F.max_by("wealth", "date").alias("wealth"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("strategy").orderBy("cost_bps")
     falls = ends.withColumn("up", F.col("wealth") > F.lag("wealth").over(w) + 1e-12).agg(F.max(F.coalesce("up", F.lit(False))).alias("up")).select(F.lit("wealth_falls_with_cost").alias("check"), (~F.col("up")).alias("ok"))
     same = ends.agg(F.count_distinct("n").alias("k")).select(F.lit("same_dates").alias("check"), (F.col("k") == 1).alias("ok"))
-    return free.unionByName(falls).unionByName(same)
+    out = free.unionByName(falls).unionByName(same)
+    if summary is not None:
+        days = F.datediff(F.max("date"), F.min("date"))
+        own = net.groupBy("strategy", "cost_bps").agg((F.exp(F.sum(F.log1p("net_return")) * F.lit(365.25) / days) - 1).alias("own"))
+        gap = summary.join(own, ["strategy", "cost_bps"]).agg(F.max(F.abs(F.col("cagr") - F.col("own"))).alias("gap"))
+        out = out.unionByName(gap.select(F.lit("cagr_reconciles").alias("check"), (F.col("gap") < 1e-8).alias("ok")))
+    return out
 
 
 def rolling_sharpe(rows: DataFrame, value: str, n: int, *keys: str) -> DataFrame:

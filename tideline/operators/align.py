@@ -23,8 +23,8 @@ def price_panel(prices: DataFrame) -> DataFrame:
     """Only dates on which every asset has a price."""
     prices = prices.filter("price is not null")
     n = prices.agg(F.count_distinct("asset").alias("n_assets"))
-    complete = prices.groupBy("date").agg(F.count_distinct("asset").alias("n")).join(F.broadcast(n), F.col("n") == F.col("n_assets")).select("date")
-    return prices.join(complete, "date")
+    on_date = F.size(F.collect_set("asset").over(Window.partitionBy("date")))
+    return prices.withColumn("n", on_date).join(F.broadcast(n), F.col("n") == F.col("n_assets")).drop("n", "n_assets")
 
 
 def trading_days(panel: DataFrame) -> DataFrame:
@@ -70,14 +70,34 @@ def month_ends(days: DataFrame, min_obs: int = 252) -> DataFrame:
 
 
 def origins_after(ends: DataFrame, cutoff: str) -> DataFrame:
-    """The month ends from the cutoff's month on."""
-    return ends.filter(F.col("date") >= F.trunc(F.lit(cutoff).cast("date"), "MM"))
+    """The month ends from the cutoff's month on; an error if there is none."""
+    out = ends.filter(F.col("date") >= F.trunc(F.lit(cutoff).cast("date"), "MM"))
+    if out.isEmpty():
+        raise ValueError(f"no origin from {cutoff} on")
+    return out
 
 
 def holding_days(ends: DataFrame, panel: DataFrame) -> DataFrame:
-    """The panel's rows in (date, next_date] of each origin. Periods don't overlap, so a day has one: its first origin before it."""
-    starts = ends.select(F.col("date").alias("origin"), "next_date")
-    return panel.join(F.broadcast(starts), (F.col("date") > F.col("origin")) & (F.col("date") <= F.col("next_date")))
+    """The panel's rows in (date, next_date] of each origin. Periods don't overlap, so a day has one: that of the last origin before it."""
+    days = panel.select("date").distinct().select("date", F.lit(0).alias("opens"), F.lit(None).cast("struct<origin:date,next_date:date>").alias("period"))
+    opened = ends.select("date", F.lit(1).alias("opens"), F.struct(F.col("date").alias("origin"), "next_date").alias("period"))
+    # one row for each day of one calendar; a day comes before the origin of its own date
+    last = F.last("period", ignorenulls=True).over(Window.orderBy("date", "opens").rowsBetween(Window.unboundedPreceding, 0))
+    of_day = days.unionByName(opened).withColumn("period", last).filter("opens = 0 and date <= period.next_date").select("date", "period.*")
+    return panel.join(of_day, "date")
+
+
+def read_off(running: DataFrame, origins: DataFrame, *keys: str) -> DataFrame:
+    """Each key's last row on or before every origin, as ``origin`` and the row's other columns: what running sums are at the origins."""
+    names = [c for c in running.columns if c not in ("date", *keys)]
+    row = F.struct("date", *names)
+    dates = origins.select(F.col("date").alias("origin"))
+    keyed = dates.withColumn("one", F.lit(1)).join(running.select(*keys).distinct().withColumn("one", F.lit(1)), "one").drop("one") if keys else dates
+    rows = running.select(*keys, "date", F.lit(0).alias("asks"), row.alias("row"))
+    asked = keyed.select(*keys, F.col("origin").alias("date"), F.lit(1).alias("asks"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    w = Window.partitionBy(*keys).orderBy("date", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(w)).filter("asks = 1 and row is not null")
+    return out.select(F.col("date").alias("origin"), *keys, *[F.col("row")[c].alias(c) for c in names])
 
 
 def execution_dates(signals: DataFrame, days: DataFrame) -> DataFrame:
@@ -112,3 +132,18 @@ def causal_gap(transform, panel: DataFrame, cutoff: str, keys: list[str], value:
     cut = transform(panel.filter(F.col("date") <= F.lit(cutoff).cast("date"))).select(*keys, F.col(value).alias("b"))
     diff = F.when(F.col("a").isNull() & F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.abs(F.col("a") - F.col("b")), F.lit(1.0)))
     return whole.join(cut, keys, "full").agg(F.max(diff)).first()[0] or 0.0
+
+
+def common_days(*frames: DataFrame) -> DataFrame:
+    """The dates that all of the frames have."""
+    out = frames[0].select("date")
+    for f in frames[1:]:
+        out = out.intersect(f.select("date"))
+    return out.distinct()
+
+
+def require_valid(report: DataFrame, key: str) -> None:
+    """Raises on the first keys that a validation report doesn't find valid."""
+    bad = [r[key] for r in report.filter(~F.col("valid")).select(key).limit(10).collect()]
+    if bad:
+        raise ValueError(f"invalid: {bad}")

@@ -92,7 +92,7 @@ def subperiods(panel: DataFrame, periods: DataFrame, least: int = 42) -> DataFra
 def histogram(rows: DataFrame, key: str, value: str, bins: int = 120, trim: float = 0.0005) -> DataFrame:
     """Counts by bin between the trim quantiles of each key."""
     edges = rows.groupBy(key).agg(F.percentile(value, trim).alias("low"), F.percentile(value, 1 - trim).alias("high"))
-    inside = rows.join(F.broadcast(edges), key).filter(F.col(value).between(F.col("low"), F.col("high")) & (F.col("high") > F.col("low")))
+    inside = rows.join(edges, key).filter(F.col(value).between(F.col("low"), F.col("high")) & (F.col("high") > F.col("low")))
     bin_ = F.least(F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)).cast("long")
     return inside.groupBy(key, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .risk import newey_west
+from .risk import newey_west, normal_p
 
 Z95 = 1.959963984540054
 #: Blocks of replicates, a task each.
@@ -49,27 +49,62 @@ def cagr(x: str) -> Column:
     return F.exp(F.sum(F.log1p(x)) * F.lit(252.0) / F.count(x)) - 1
 
 
-METRICS = {"sharpe": sharpe, "sortino": sortino, "ann_vol": volatility, "cagr": cagr}
+#: Each metric with the series it is taken on: excess returns for ratios, net returns for the rest.
+METRICS = {"sharpe": ("excess", sharpe), "sortino": ("excess", sortino), "ann_vol": ("net", volatility), "cagr": ("net", cagr), "max_drawdown": ("net", None), "calmar": ("net", None)}
+
+
+def legs(rows: DataFrame, order: str, *keys: str) -> DataFrame:
+    """Each metric of leg b less that of leg a, one row for each key, of rows a, b (excess) and net_a, net_b in the given order.
+
+    Drawdowns follow the path of the (resampled) rows, from its first value on."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    for leg in "ab":
+        rows = rows.withColumn(f"w_{leg}", F.exp(F.sum(F.log1p(f"net_{leg}")).over(w)))
+        rows = rows.withColumn(f"dd_{leg}", F.col(f"w_{leg}") / F.max(f"w_{leg}").over(w) - 1)
+    made = []
+    for leg in "ab":
+        for name, (series, f) in METRICS.items():
+            made.append((F.min(f"dd_{leg}") if f is None else f(leg if series == "excess" else f"net_{leg}")).alias(f"{name}_{leg}"))
+    out = rows.groupBy(*keys).agg(*made)
+    for leg in "ab":
+        out = out.withColumn(f"calmar_{leg}", F.when(F.col(f"max_drawdown_{leg}") < 0, F.col(f"cagr_{leg}") / F.abs(f"max_drawdown_{leg}")))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"{m}_b") - F.col(f"{m}_a")).alias("value")) for m in METRICS])
+    return out.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*")
 
 
 def draws(paired: DataFrame, block: float, reps: int, n: int, seed: int = 12345) -> DataFrame:
-    """rep, metric, value: differences b - a of each metric on the same resampled dates. paired: date, a, b with n rows."""
-    numbered = paired.select("a", "b", (F.row_number().over(Window.orderBy("date")) - 1).cast("bigint").alias("src"))
-    sampled = indices(paired.sparkSession, n, block, reps, seed).join(F.broadcast(numbered), "src")
-    wide = sampled.groupBy("rep").agg(*[(f("b") - f("a")).alias(m) for m, f in METRICS.items()])
-    return wide.select("rep", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("x")).select("rep", "x.*")
+    """rep, metric, value: differences of each metric on the same resampled dates. paired: date, a, b, net_a, net_b with n rows."""
+    numbered = paired.select("a", "b", "net_a", "net_b", (F.row_number().over(Window.orderBy("date")) - 1).cast("bigint").alias("src"))
+    return legs(indices(paired.sparkSession, n, block, reps, seed).join(numbered, "src"), "pos", "rep")
 
 
 def observed(paired: DataFrame) -> DataFrame:
-    wide = paired.agg(*[(f("b") - f("a")).alias(m) for m, f in METRICS.items()])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("observed")) for m in METRICS])).alias("x")).select("x.*")
+    return legs(paired.withColumn("one", F.lit(1)), "date", "one").select("metric", F.col("value").alias("observed"))
+
+
+def sharpe_draws(series: DataFrame, block: float, reps: int, n: int, seed: int = 12345) -> DataFrame:
+    """comparison, rep, value: differences b - a of Sharpe ratios of many comparisons on the same resampled dates, in one pass.
+
+    series: comparison, date, a, b (excess), each comparison with the same n dates."""
+    numbered = series.withColumn("src", (F.dense_rank().over(Window.orderBy("date")) - 1).cast("bigint"))
+    by_day = numbered.groupBy("src").agg(F.collect_list(F.struct("comparison", "a", "b")).alias("x"))  # a few comparisons a day
+    sampled = indices(series.sparkSession, n, block, reps, seed).join(by_day, "src").select("rep", F.explode("x").alias("x")).select("rep", "x.*")
+    return sampled.groupBy("comparison", "rep").agg((sharpe("b") - sharpe("a")).alias("value"))
+
+
+def sharpe_tests(series: DataFrame, block: float, reps: int, n: int, kept=lambda df: df, seed: int = 12345) -> DataFrame:
+    """Per comparison: observed difference of Sharpe ratios, spread of its draws, percentile interval and centred p-values. ``kept`` may write the draws down."""
+    drawn = kept(sharpe_draws(series, block, reps, n, seed)).withColumnRenamed("comparison", "metric")
+    seen = series.groupBy(F.col("comparison").alias("metric")).agg((sharpe("b") - sharpe("a")).alias("observed"))
+    spread = drawn.groupBy("metric").agg(F.stddev_samp("value").alias("bootstrap_sd"))
+    return intervals(drawn, seen).join(spread, "metric").withColumnRenamed("metric", "comparison")
 
 
 def intervals(drawn: DataFrame, seen: DataFrame, level: float = 0.95) -> DataFrame:
     """Percentile interval and centred p-values (greater, less, two-sided), the null being draws less their mean."""
     finite = drawn.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
     centre = finite.groupBy("metric").agg(F.avg("value").alias("centre"))
-    rows = finite.join(F.broadcast(centre), "metric").join(F.broadcast(seen), "metric").withColumn("null", F.col("value") - F.col("centre"))
+    rows = finite.join(centre, "metric").join(seen, "metric").withColumn("null", F.col("value") - F.col("centre"))
     tail = (1 - level) / 2
     return rows.groupBy("metric").agg(
         F.first("observed").alias("observed"), F.count(F.lit(1)).alias("n_draws"), F.percentile("value", tail).alias("ci_low"), F.percentile("value", 1 - tail).alias("ci_high"),
@@ -78,6 +113,6 @@ def intervals(drawn: DataFrame, seen: DataFrame, level: float = 0.95) -> DataFra
 
 
 def hac_difference(paired: DataFrame, lags: int, z: float = Z95) -> DataFrame:
-    """Mean of b - a, annualised, with its HAC interval and statistic."""
-    out = newey_west(paired.select(F.lit("b-a").alias("pair"), "date", (F.col("b") - F.col("a")).alias("d")), ["pair"], "d", lags)
-    return out.select("pair", F.lit(lags).cast("long").alias("lags"), "n", (F.col("mean") * 252).alias("annual_mean"), (F.col("se") * 252).alias("annual_se"), ((F.col("mean") - z * F.col("se")) * 252).alias("ci_low"), ((F.col("mean") + z * F.col("se")) * 252).alias("ci_high"), "z")
+    """Mean of net_b - net_a, annualised, with its HAC interval, statistic and two-sided normal p-value."""
+    out = newey_west(paired.select(F.lit("b-a").alias("pair"), "date", (F.col("net_b") - F.col("net_a")).alias("d")), ["pair"], "d", lags)
+    return out.select("pair", F.lit(lags).cast("long").alias("lags"), "n", (F.col("mean") * 252).alias("annual_mean"), (F.col("se") * 252).alias("annual_se"), ((F.col("mean") - z * F.col("se")) * 252).alias("ci_low"), ((F.col("mean") + z * F.col("se")) * 252).alias("ci_high"), "z", normal_p(F.col("z")).alias("p_two_sided"))

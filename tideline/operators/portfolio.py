@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import hmm, matrix
 from . import regimes, risk
-from .align import expanding_windows
+from .align import expanding_windows, read_off
 
 STRATEGIES = ("equal_weight", "sixty_forty", "static_min_variance", "rolling_lw", "ewma_scaled", "regime_aware")
 
@@ -83,48 +83,118 @@ def fixed_weights(assets: DataFrame, weights: dict[str, float], known: list[str]
 
 
 def origin_covariances(origins: DataFrame, returns: DataFrame) -> DataFrame:
-    """Ledoit-Wolf entries of every origin's expanding window, from moment sums grouped by origin."""
-    win = expanding_windows(origins, returns)
-    means = win.groupBy("origin", "asset").agg(F.avg("r").alias("m"))
-    x = win.join(F.broadcast(means), ["origin", "asset"]).withColumn("c", F.col("r") - F.col("m"))
-    i = x.select("origin", "date", F.col("asset").alias("asset_i"), F.col("c").alias("x"))
-    e = i.join(x.select("origin", "date", F.col("asset").alias("asset_j"), F.col("c").alias("y")), ["origin", "date"])
-    e = e.groupBy("origin", "asset_i", "asset_j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.col("x") ** 2 * F.col("y") ** 2).alias("f"), F.count(F.lit(1)).alias("n"))
+    """Ledoit-Wolf entries of every origin's expanding window: running moments of each pair of assets, read off at the origins."""
+    w = Window.partitionBy("asset_i", "asset_j").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    x, y = F.col("x"), F.col("y")
+    powers = {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y, "xxy": x * x * y, "xyy": x * y * y, "xxyy": x * x * y * y}
+    running = risk.pairs(returns).select("date", "asset_i", "asset_j", F.count(F.lit(1)).over(w).alias("n"), *[F.avg(v).over(w).alias(f"m_{k}") for k, v in powers.items()])
+    m = read_off(running, origins, "asset_i", "asset_j")
+    a, b = F.col("m_x"), F.col("m_y")
+    s = F.col("m_xy") - a * b
+    f = F.col("m_xxyy") - 2 * b * F.col("m_xxy") - 2 * a * F.col("m_xyy") + b * b * F.col("m_xx") + a * a * F.col("m_yy") + 4 * a * b * F.col("m_xy") - 3 * a * a * b * b
+    e = m.select("origin", "asset_i", "asset_j", s.alias("s"), f.alias("f"), "n")
     d = (F.col("asset_i") == F.col("asset_j")).cast("double")
-    t = e.groupBy("origin").agg(F.sum(F.col("s") * d).alias("trace"), F.sum(d).alias("p"), F.sum(F.col("s") ** 2).alias("ss"), F.sum("f").alias("ff"), F.max("n").alias("nn"))
-    t = t.withColumn("mu", F.col("trace") / F.col("p")).withColumn("delta", (F.col("ss") - F.col("p") * F.col("mu") ** 2) / F.col("p"))
-    t = t.withColumn("rho", F.coalesce(F.try_divide(F.least((F.col("ff") - F.col("ss")) / (F.col("p") * F.col("nn")), F.col("delta")), F.col("delta")), F.lit(0.0)))
-    return e.join(F.broadcast(t.select("origin", "mu", "rho")), "origin").select("origin", "asset_i", "asset_j", ((1 - F.col("rho")) * F.col("s") + F.col("rho") * F.col("mu") * d).alias("covariance"))
+    of = Window.partitionBy("origin")
+    e = e.withColumns({"p": F.sum(d).over(of), "mu": F.sum(F.col("s") * d).over(of) / F.sum(d).over(of), "ss": F.sum(F.col("s") ** 2).over(of), "ff": F.sum("f").over(of)})
+    delta = (F.col("ss") - F.col("p") * F.col("mu") ** 2) / F.col("p")
+    e = e.withColumn("delta", delta).withColumn("rho", F.coalesce(F.try_divide(F.least((F.col("ff") - F.col("ss")) / (F.col("p") * F.col("n")), F.col("delta")), F.col("delta")), F.lit(0.0)))
+    return e.select("origin", "asset_i", "asset_j", ((1 - F.col("rho")) * F.col("s") + F.col("rho") * F.col("mu") * d).alias("covariance"))
 
 
-def ladder(origins: DataFrame, returns: DataFrame, states: DataFrame | None, caps: float = 0.6, fixed: dict[str, float] | None = None) -> DataFrame:
-    """strategy, date (signal), asset, weight of the strategies; states: origin, p_high, fallback_used with daily flags held elsewhere.
+#: One row for each cell of each estimator of each origin, with the audit of its matrix.
+PANEL = (
+    "origin date, n_obs long, estimator string, state int, asset_i string, asset_j string, covariance double, n_eff double, intensity double, p_bar_high double, between_norm double, "
+    "fallback_used boolean, fallback_reason string, covariance_consumed boolean, status string, condition_cov double, condition_corr double, min_eigenvalue double"
+)
 
-    The regime leg scales the shrunk covariance by the mean variance ratio of the likelier state; where the fit falls back, it emits nothing."""
-    lw = origin_covariances(origins, returns)
-    dates = origins.select(F.col("date").alias("origin"))
-    assets = returns.select("asset").distinct()
-    every = dates.withColumn("one", F.lit(1)).join(F.broadcast(assets.withColumn("one", F.lit(1))), "one").drop("one")
-    n = assets.agg(F.count(F.lit(1)).alias("n"))
-    equal = every.join(F.broadcast(n)).select(F.lit(STRATEGIES[0]).alias("strategy"), F.col("origin").alias("date"), "asset", (F.lit(1.0) / F.col("n")).alias("weight"))
-    table = F.create_map(*[F.lit(x) for kv in (fixed or {"A": 0.6, "N": 0.4}).items() for x in kv])
-    mixed = every.select(F.lit(STRATEGIES[1]).alias("strategy"), F.col("origin").alias("date"), "asset", F.coalesce(F.try_element_at(table, F.col("asset")), F.lit(0.0)).alias("weight"))
-    first = dates.agg(F.min("origin").alias("origin"))
-    once = min_variance(lw.join(F.broadcast(first), "origin"), caps, "origin").drop("origin")
-    static = dates.withColumn("one", F.lit(1)).join(F.broadcast(once.withColumn("one", F.lit(1))), "one").select(F.lit(STRATEGIES[2]).alias("strategy"), F.col("origin").alias("date"), "asset", "weight")
+
+def covariance_panel(origins: DataFrame, rows: DataFrame, returns: DataFrame, k: int = 2, seeds: range | tuple = range(16), kappa: float = 60.0, between: bool = False, horizon: int = 21, min_obs: int = 252) -> DataFrame:
+    """Nine estimators (for two states) at every origin, on the returns of its window: sample, ewma, ledoit_wolf, each state's raw and shrunk, the regime mixture,
+    and the matrix that strategies consume, which is Ledoit-Wolf where the fit falls back. All have passed the semidefinite gate; a matrix that fails raises."""
+    assets = sorted(r.asset for r in returns.select("asset").distinct().collect())
+    wide = returns.groupBy("date").pivot("asset", assets).agg(F.first("r")).withColumnsRenamed({a: f"r_{a}" for a in assets})
+    win = expanding_windows(origins, rows.join(wide, "date", "left"))
+    names = [c.split()[0] for c in PANEL.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(pdf) >= min_obs:
+            origin = pdf["origin"].iloc[0]
+            pdf, _, model, _, gamma = regimes._fit(pdf, regimes.FEATURES, k, seeds, "realized_vol_21d", 200)
+            flags = hmm.diagnose(model, gamma)
+            x = pdf[[f"r_{a}" for a in assets]].to_numpy(float)
+            ok = np.isfinite(x).all(axis=1)
+            made, weight, norm = matrix.estimators(x[ok], gamma[ok], gamma[-1], model["p"], flags["fallback_used"], kappa, between, horizon)
+            used = "ledoit_wolf" if flags["fallback_used"] else "regime_mixture"
+            for name, (m, about) in made.items():
+                m, status = matrix.gate(m)
+                if status == "failed":
+                    raise ValueError(f"{name} of {origin} is not positive semidefinite")
+                a, b = matrix.conditions(m)
+                tail = [float(weight[-1]), norm if name == "regime_mixture" else None, flags["fallback_used"], flags["fallback_reason"], name in ("consumed", used), status, a, b, float(np.linalg.eigvalsh(m)[0])]
+                out += [[origin, len(pdf), name, about.get("state", -1), p, q, float(m[i, j]), about.get("n_eff"), about.get("intensity"), *tail] for i, p in enumerate(assets) for j, q in enumerate(assets)]
+        return pd.DataFrame(out, columns=names)
+
+    return win.repartition(regimes.GROUPS, "origin").groupBy("origin").applyInPandas(run, PANEL)
+
+
+def covariance_audit(panel: DataFrame) -> DataFrame:
+    """One row for each estimator of each origin."""
+    return panel.drop("asset_i", "asset_j", "covariance").distinct()
+
+
+def conditioning_summary(panel: DataFrame) -> DataFrame:
+    """Per estimator: origins, mean and greatest condition numbers, least eigenvalue, origins where it was clipped or consumed."""
+    return covariance_audit(panel).groupBy("estimator").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("condition_cov").alias("mean_condition"), F.max("condition_cov").alias("max_condition"), F.avg("condition_corr").alias("mean_condition_corr"), F.min("min_eigenvalue").alias("min_eigenvalue"),
+        F.sum((F.col("status") == "clipped").cast("long")).alias("n_clipped"), F.sum(F.col("covariance_consumed").cast("long")).alias("n_consumed"),
+    )
+
+
+def ladder(panel: DataFrame, returns: DataFrame, caps: float = 0.6, fixed: dict[str, float] | None = None) -> DataFrame:
+    """strategy, date (signal), asset, weight of the six strategies, from the covariance panel's matrices. Where an optimisation has no solution a strategy emits no rows."""
+    entries = lambda name: panel.filter(F.col("estimator") == name).select("origin", "asset_i", "asset_j", "covariance")
+    lw = entries("ledoit_wolf")
+    every = lw.filter("asset_i = asset_j").select("origin", F.col("asset_i").alias("asset"))
     named = lambda name, w: w.select(F.lit(name).alias("strategy"), F.col("origin").alias("date"), "asset", "weight")
+    equal = named(STRATEGIES[0], every.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("origin"))))
+    table = F.create_map(*[F.lit(x) for kv in (fixed or {"A": 0.6, "N": 0.4}).items() for x in kv])
+    mixed = named(STRATEGIES[1], every.withColumn("weight", F.coalesce(F.try_element_at(table, F.col("asset")), F.lit(0.0))))
+    first = lw.agg(F.min("origin").alias("origin"))
+    once = min_variance(lw.join(first, "origin"), caps, "origin").drop("origin")
+    static = named(STRATEGIES[2], every.join(once, "asset"))
     rolling = named(STRATEGIES[3], min_variance(lw, caps, "origin"))
-    v = risk.ewma_variance_closed(returns).join(F.broadcast(dates), F.col("date") == F.col("origin")).select("origin", "asset", "ewma_variance")
+    v = risk.ewma_variance_closed(returns).join(every.select(F.col("origin").alias("date")).distinct(), "date").select(F.col("date").alias("origin"), "asset", "ewma_variance")
     d = lw.filter("asset_i = asset_j").select("origin", F.col("asset_i").alias("asset"), F.col("covariance").alias("d"))
     k = v.join(d, ["origin", "asset"]).select("origin", "asset", F.sqrt(F.col("ewma_variance") / F.col("d")).alias("k"))
     scaled = lw.join(k.select("origin", F.col("asset").alias("asset_i"), F.col("k").alias("ki")), ["origin", "asset_i"]).join(k.select("origin", F.col("asset").alias("asset_j"), F.col("k").alias("kj")), ["origin", "asset_j"])
     ewma = named(STRATEGIES[4], min_variance(scaled.select("origin", "asset_i", "asset_j", (F.col("covariance") * F.col("ki") * F.col("kj")).alias("covariance")), caps, "origin"))
-    out = equal.unionByName(mixed).unionByName(static).unionByName(rolling).unionByName(ewma)
-    if states is not None:
-        mixture = scaled.join(F.broadcast(states.filter("not fallback_used").select("origin", "p_high")), "origin")
-        blend = F.col("p_high") * F.col("ki") * F.col("kj") + (1 - F.col("p_high"))
-        out = out.unionByName(named(STRATEGIES[5], min_variance(mixture.select("origin", "asset_i", "asset_j", (F.col("covariance") * blend).alias("covariance")), caps, "origin")))
-    return out
+    regime = named(STRATEGIES[5], min_variance(entries("consumed"), caps, "origin"))
+    return equal.unionByName(mixed).unionByName(static).unionByName(rolling).unionByName(ewma).unionByName(regime)
+
+
+#: Where each strategy's covariance comes from.
+SOURCES = dict(zip(STRATEGIES, ("none", "none", "training_window_ledoit_wolf", "rolling_ledoit_wolf", "ewma_vol_x_lw_correlation", "a2_consumed"), strict=True))
+
+
+def optimizer_audit(panel: DataFrame, weights: DataFrame, cap: float = 0.6) -> DataFrame:
+    """Per origin and strategy: sum, least and greatest weight, violation, weights at the cap, the matrix's digest, and fallback_requested where there are no weights."""
+    strategies = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(c).alias("covariance_source")) for s, c in SOURCES.items()])).alias("s")
+    every = panel.select(F.col("origin").alias("date")).distinct().select("date", strategies).select("date", "s.*")
+    ruled = F.col("covariance_source") == "none"
+    seen = weights.groupBy("date", "strategy").agg(F.sum("weight").alias("sum_weights"), F.min("weight").alias("minimum_weight"), F.max("weight").alias("maximum_weight"), F.sum((F.abs(F.col("weight") - cap) < 1e-6).cast("long")).alias("at_cap"))
+    hashes = fingerprint(panel.filter("estimator in ('ledoit_wolf', 'consumed')"), "origin", "estimator")
+    source = F.when(F.col("estimator") == "consumed", STRATEGIES[5]).otherwise(STRATEGIES[3])
+    hashes = hashes.select(F.col("origin").alias("date"), source.alias("strategy"), "matrix_hash")
+    out = every.join(seen, ["date", "strategy"], "left").join(hashes, ["date", "strategy"], "left")
+    violation = F.abs(F.col("sum_weights") - 1)
+    out = out.withColumn("constraint_violation", F.when(ruled, violation).otherwise(F.greatest(violation, -F.col("minimum_weight"), F.col("maximum_weight") - cap, F.lit(0.0))))
+    return out.withColumns({"cap_binding_count": F.when(ruled, F.lit(0).cast("long")).otherwise(F.col("at_cap")), "fallback_requested": F.col("sum_weights").isNull()}).drop("at_cap")
+
+
+def optimizer_summary(audit: DataFrame) -> DataFrame:
+    """Per strategy: origins, fallbacks, worst violation, mean greatest weight and origins at the cap."""
+    return audit.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fallback_requested").cast("long")).alias("n_fallback"), F.max("constraint_violation").alias("worst_violation"), F.avg("maximum_weight").alias("mean_max_weight"), F.sum((F.col("cap_binding_count") > 0).cast("long")).alias("n_cap_binding"))
 
 
 @dataclass(frozen=True)
@@ -177,12 +247,52 @@ def grid(origins: DataFrame, rows: DataFrame, returns: DataFrame, specs: tuple[S
                 ok = np.isfinite(x).all(axis=1)
                 if s.years:
                     ok &= (dates >= pd.Timestamp(origin) - pd.DateOffset(years=s.years)).to_numpy()
-                lw = matrix.ledoit_wolf(x[ok])
-                mixed = lw if degenerate and not s.accept else matrix.mixture(x[ok], gamma[ok], lw, gamma[-1], model["p"], s.kappa, s.between)
-                for strategy, m in (("regime_mixture", mixed), ("window_lw", lw)):
+                made, _, _ = matrix.estimators(x[ok], gamma[ok], gamma[-1], model["p"], degenerate and not s.accept, s.kappa, s.between)
+                for strategy, m in (("regime_mixture", made["consumed"][0]), ("window_lw", made["ledoit_wolf"][0])):
                     m, status = matrix.gate(m)
                     w = matrix.min_variance(m, s.cap) if status != "failed" else None
                     out += [(s.name, strategy, origin, a, float(v)) for a, v in zip(held, w, strict=True)] if w is not None else []
         return pd.DataFrame(out, columns=names)
 
     return win.repartition(4 * regimes.GROUPS, "fit", "origin").groupBy("fit", "origin").applyInPandas(run, schema)
+
+
+def grid_family(tests: DataFrame) -> DataFrame:
+    """Tests (comparison, observed, p_one_sided, ..) as the grid's: Holm over all but the primary, whether the sign is the primary's, and whether all share one window."""
+    rows = tests.withColumnRenamed("comparison", "specification")
+    primary = F.col("specification") == "primary"
+    every = Window.partitionBy()  # one row for each specification
+    ranked = risk.holm(rows.withColumn("family", F.when(primary, "primary").otherwise("robustness")).withColumn("test", F.col("specification")), "p_one_sided", "family").drop("test")
+    return ranked.withColumns({
+        "p_holm": F.when(~primary, F.col("p_holm")),
+        "sign_matches_primary": F.signum("observed") == F.max(F.when(primary, F.signum("observed"))).over(every),
+        "shares_window": F.min("n_evaluation_days").over(every) == F.max("n_evaluation_days").over(every),
+    })
+
+
+def closing_checks(tests: DataFrame, net: DataFrame) -> DataFrame:
+    """check, ok: every specification once and in the grid, finite results, ordered intervals, p-values from 0 to 1 and none below its raw one after Holm, both legs on the same days, and, for those that differ behind the fit only, the primary's comparison leg."""
+    names = F.array(*[F.lit(s.name) for s in GRID])
+    on = lambda name, ok: tests.agg(F.coalesce(F.min(ok.cast("int")) == 1, F.lit(False)).alias("ok")).select(F.lit(name).alias("check"), "ok")
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("observed", "ci_low", "ci_high", "bootstrap_sd")]
+    checks = [
+        tests.agg((F.count(F.lit(1)) == len(GRID)).alias("ok")).select(F.lit("all_specifications").alias("check"), "ok"),
+        tests.agg((F.count_distinct("specification") == F.count(F.lit(1))).alias("ok")).select(F.lit("each_once").alias("check"), "ok"),
+        on("declared", F.array_contains(names, F.col("specification"))),
+        on("finite", finite[0] & finite[1] & finite[2] & finite[3]),
+        on("intervals_ordered", F.col("ci_low") <= F.col("ci_high")),
+        on("p_in_range", F.col("p_one_sided").between(0, 1)),
+        on("holm_not_below_raw", F.coalesce(F.col("p_holm") >= F.col("p_one_sided"), F.lit(True))),
+        on("primary_outside_family", F.col("p_holm").isNull() == (F.col("specification") == "primary")),
+        on("spread_positive", F.col("bootstrap_sd") > 0),
+        on("one_window", F.col("shares_window")),
+    ]
+    legs = net.groupBy("specification").agg(F.count_distinct("strategy").alias("k"), F.count_distinct("date").alias("days"), F.count(F.lit(1)).alias("n"))
+    checks.append(legs.agg((F.min(((F.col("k") == 2) & (F.col("n") == 2 * F.col("days"))).cast("int")) == 1).alias("ok")).select(F.lit("legs_share_days").alias("check"), "ok"))
+    same = [s.name for s in GRID if s.cap == GRID[0].cap and not s.universe and not s.years]
+    lw = net.filter((F.col("strategy") == "window_lw") & F.col("specification").isin(same)).groupBy("date").agg((F.max("net_return") - F.min("net_return")).alias("gap"))
+    checks.append(lw.agg((F.max("gap") < 1e-12).alias("ok")).select(F.lit("one_comparator").alias("check"), "ok"))
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out

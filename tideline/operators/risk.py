@@ -11,25 +11,13 @@ from .align import holding_days
 LAMBDA, SEED_OBS, FLOOR = 0.94, 63, 1e-8
 
 
-def ewma_variance(returns: DataFrame, value: str = "r", lam: float = LAMBDA, seed_obs: int = SEED_OBS) -> DataFrame:
-    """v_n = lam * v_(n-1) + (1 - lam) * r_n**2 from observation seed_obs on, started from the sample variance of the
-    first seed_obs (whose last is then applied too), as a fold over each asset's returns."""
-    w = C.by("asset")
-    rows = returns.filter(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w))
-    seed = rows.filter(F.col("k") <= seed_obs).groupBy("asset").agg(F.when(F.count(F.lit(1)) == seed_obs, F.var_samp(value)).alias("seed"))
-    # closed form on a window: the weights fall off from the row back, so sums stay in range
-    rows = rows.join(F.broadcast(seed), "asset").filter("seed is not null")
-    later = rows.filter(F.col("k") >= seed_obs).withColumn("past", F.collect_list(F.col(value) * F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    v = F.aggregate("past", F.col("seed"), lambda acc, x: acc * lam + x * (1 - lam))
-    return later.select("asset", "date", v.alias("ewma_variance"))
-
-
 def ewma_variance_closed(returns: DataFrame, value: str = "r", lam: float = LAMBDA, seed_obs: int = SEED_OBS, block: int = 250) -> DataFrame:
-    """The same recursion as running sums: within blocks of rows lam**-k stays small, and blocks chain by their last value."""
+    """v_n = lam * v_(n-1) + (1 - lam) * r_n**2 from observation seed_obs on, started from the sample variance of the first seed_obs (whose last
+    is then applied too), as running sums: within blocks of rows lam**-k stays small, and blocks chain by their last value."""
     w = C.by("asset")
     rows = returns.filter(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w))
     seed = rows.filter(F.col("k") <= seed_obs).groupBy("asset").agg(F.when(F.count(F.lit(1)) == seed_obs, F.var_samp(value)).alias("seed"))
-    rows = rows.join(F.broadcast(seed), "asset").filter("seed is not null").filter(F.col("k") >= seed_obs)
+    rows = rows.join(seed, "asset").filter("seed is not null").filter(F.col("k") >= seed_obs)
     rows = rows.withColumns({"block": F.floor((F.col("k") - seed_obs) / block), "i": (F.col("k") - seed_obs) % block + 1})
     inner = Window.partitionBy("asset", "block").orderBy("i")
     rows = rows.withColumn("own", F.pow(F.lit(lam), F.col("i")) * F.sum((1 - lam) * F.col(value) ** 2 * F.pow(F.lit(lam), -F.col("i"))).over(inner))
@@ -75,7 +63,7 @@ def losses(fc: DataFrame, oos_start: str) -> DataFrame:
 def newey_west(diffs: DataFrame, keys: list[str], value: str, lags: int) -> DataFrame:
     """Mean, its HAC standard error (Bartlett weights) and z, of each key's series in date order."""
     mean = diffs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
-    rows = diffs.join(F.broadcast(mean), keys).withColumn("e", F.col(value) - F.col("mean"))
+    rows = diffs.join(mean, keys).withColumn("e", F.col(value) - F.col("mean"))
     w = C.by(*keys)
     products = [F.sum(F.col("e") * F.col("e")).alias("g0")]
     for j in range(1, lags + 1):
@@ -94,14 +82,14 @@ def diebold_mariano(fc: DataFrame, a: str, b: str, lags: int = 3) -> DataFrame:
     q = fc.withColumn("q", C.qlike(F.col("realized_ivar"), F.col("forecast_ivar")))
     wide = q.groupBy("date", "asset").agg(F.max(F.when(F.col("model") == a, F.col("q"))).alias("qa"), F.max(F.when(F.col("model") == b, F.col("q"))).alias("qb"))
     out = newey_west(wide.withColumn("d", F.col("qa") - F.col("qb")).filter("d is not null"), ["asset"], "d", lags)
-    return out.withColumns({"ci_low": F.col("mean") - 1.96 * F.col("se"), "ci_high": F.col("mean") + 1.96 * F.col("se"), "favours": F.when(F.col("mean") < 0, a).otherwise(b)})
+    return out.withColumns({"p_value": normal_p(F.col("z")), "ci_low": F.col("mean") - 1.96 * F.col("se"), "ci_high": F.col("mean") + 1.96 * F.col("se"), "favours": F.when(F.col("mean") < 0, a).otherwise(b)})
 
 
 def normal_p(z):
     """Two-sided normal p-value, by a series of exp and arithmetic good to 1e-7 or so (there is no erf in SQL)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.5 * x)
-    # the rational Chebyshev fit of erfc; fixed values
+    # the Chebyshev fit of erfc in Numerical Recipes, section 6.2; fixed values
     c = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
     poly = F.lit(c[-1])
     for k in reversed(c[:-1]):
@@ -138,7 +126,7 @@ def rolling_covariance(returns: DataFrame, n: int) -> DataFrame:
 def weighted_covariance(rows: DataFrame, *keys: str) -> DataFrame:
     """Entries around weighted means, of rows date, asset, r, weight (of a date, within the keys)."""
     means = rows.groupBy(*keys, "asset").agg((F.sum(F.col("weight") * F.col("r")) / F.sum("weight")).alias("m"))
-    centred = rows.join(F.broadcast(means), [*keys, "asset"]).withColumn("c", F.col("r") - F.col("m"))
+    centred = rows.join(means, [*keys, "asset"]).withColumn("c", F.col("r") - F.col("m"))
     i = centred.select(*keys, "date", "weight", F.col("asset").alias("asset_i"), F.col("c").alias("x"))
     j = centred.select(*keys, "date", F.col("asset").alias("asset_j"), F.col("c").alias("y"))
     return i.join(j, [*keys, "date"]).groupBy(*keys, "asset_i", "asset_j").agg((F.sum(F.col("weight") * F.col("x") * F.col("y")) / F.sum("weight")).alias("covariance"))
@@ -156,14 +144,14 @@ def effective_sample(rows: DataFrame, *keys: str) -> DataFrame:
 def ledoit_wolf(returns: DataFrame) -> DataFrame:
     """Entries shrunk toward the mean variance, and the intensity, from moment sums alone."""
     means = returns.groupBy("asset").agg(F.avg("r").alias("m"))
-    x = returns.join(F.broadcast(means), "asset").withColumn("c", F.col("r") - F.col("m"))
+    x = returns.join(means, "asset").withColumn("c", F.col("r") - F.col("m"))
     entries = pairs(x, "c").groupBy("asset_i", "asset_j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.col("x") ** 2 * F.col("y") ** 2).alias("f"), F.count(F.lit(1)).alias("n"))
     diagonal = (F.col("asset_i") == F.col("asset_j")).cast("double")
     total = entries.agg(F.sum(F.col("s") * diagonal).alias("trace"), F.sum(diagonal).alias("p"), F.sum(F.col("s") ** 2).alias("ss"), F.sum("f").alias("ff"), F.max("n").alias("nn"))
     total = total.withColumn("mu", F.col("trace") / F.col("p")).withColumn("delta", (F.col("ss") - F.col("p") * F.col("mu") ** 2) / F.col("p"))
     total = total.withColumn("beta", F.least((F.col("ff") - F.col("ss")) / (F.col("p") * F.col("nn")), F.col("delta")))
     total = total.select("mu", F.coalesce(F.try_divide("beta", "delta"), F.lit(0.0)).alias("intensity"), F.lit(1).alias("one"))
-    out = entries.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
+    out = entries.withColumn("one", F.lit(1)).join(total, "one")
     return out.select("asset_i", "asset_j", ((1 - F.col("intensity")) * F.col("s") + F.col("intensity") * F.col("mu") * diagonal).alias("covariance"), "intensity")
 
 
@@ -171,14 +159,14 @@ def ewma_scaled(variances: DataFrame, base: DataFrame) -> DataFrame:
     """Base correlations at the given variances."""
     diagonal = base.filter("asset_i = asset_j").select(F.col("asset_i").alias("asset"), F.col("covariance").alias("d"))
     v = variances.select("asset", F.col("ewma_variance").alias("v")).join(diagonal, "asset")
-    out = base.join(F.broadcast(v.select(F.col("asset").alias("asset_i"), F.col("v").alias("vi"), F.col("d").alias("di"))), "asset_i").join(F.broadcast(v.select(F.col("asset").alias("asset_j"), F.col("v").alias("vj"), F.col("d").alias("dj"))), "asset_j")
+    out = base.join(v.select(F.col("asset").alias("asset_i"), F.col("v").alias("vi"), F.col("d").alias("di")), "asset_i").join(v.select(F.col("asset").alias("asset_j"), F.col("v").alias("vj"), F.col("d").alias("dj")), "asset_j")
     return out.select("asset_i", "asset_j", (F.sqrt(F.col("vi") * F.col("vj")) * F.col("covariance") / F.sqrt(F.col("di") * F.col("dj"))).alias("covariance"))
 
 
 def shrink_states(states: DataFrame, pooled: DataFrame, n_eff: DataFrame, strength: float = 60.0) -> DataFrame:
     """Each state's entries pulled to the pooled ones by n_eff / (n_eff + strength)."""
     a = F.col("n_eff") / (F.col("n_eff") + strength)
-    out = states.join(F.broadcast(n_eff), "state").join(F.broadcast(pooled.withColumnRenamed("covariance", "pooled")), ["asset_i", "asset_j"])
+    out = states.join(n_eff, "state").join(pooled.withColumnRenamed("covariance", "pooled"), ["asset_i", "asset_j"])
     return out.select("state", "asset_i", "asset_j", (a * F.col("covariance") + (1 - a) * F.col("pooled")).alias("covariance"))
 
 
@@ -193,7 +181,13 @@ def horizon_probabilities(rows: DataFrame, horizon: int) -> DataFrame:
 
 def mixture(states: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum over states of weight times covariance; weights: state, p."""
-    return states.join(F.broadcast(weights), "state").groupBy("asset_i", "asset_j").agg(F.sum(F.col("p") * F.col("covariance")).alias("covariance"))
+    return states.join(weights, "state").groupBy("asset_i", "asset_j").agg(F.sum(F.col("p") * F.col("covariance")).alias("covariance"))
+
+
+def symmetrized(entries: DataFrame, *keys: str) -> DataFrame:
+    """Each entry averaged with its mirror."""
+    mirror = entries.select(*keys, F.col("asset_i").alias("asset_j"), F.col("asset_j").alias("asset_i"), F.col("covariance").alias("other"))
+    return entries.join(mirror, [*keys, "asset_i", "asset_j"]).select(*keys, "asset_i", "asset_j", ((F.col("covariance") + F.col("other")) / 2).alias("covariance"))
 
 
 def frobenius(a: DataFrame, b: DataFrame) -> DataFrame:

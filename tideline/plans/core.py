@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import align, describe, risk
-from ..sources import panels
+from ..sources import durable, panels
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -60,8 +60,25 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DI
     return register
 
 
+def prices(spark, d) -> DataFrame:
+    return durable.once(spark, ("prices", d), lambda: panels.proxy_prices(spark, d))
+
+
+#: erfc by the same fit as ``risk.normal_p``.
+_FIT = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided normal p-value of an SQL expression."""
+    t, poly = f"(1 / (1 + 0.5 * abs({z}) / sqrt(2.0::DOUBLE)))", str(_FIT[-1])
+    for k in reversed(_FIT[:-1]):
+        poly = f"({poly} * {t} + {k})"
+    return f"({t} * exp(-({z}) * ({z}) / 2.0 + {poly}))"
+
+
 def panel(spark, d) -> DataFrame:
-    return align.price_panel(panels.proxy_prices(spark, d))
+    """The complete panel: the facts are read once for all queries, and this small table of them is landed."""
+    return durable.once(spark, ("panel", d), lambda: align.price_panel(prices(spark, d)))
 
 
 def returns(spark, d, kind: str = "log") -> DataFrame:
@@ -69,8 +86,12 @@ def returns(spark, d, kind: str = "log") -> DataFrame:
     return panel(spark, d).withColumn("r", make("price", "asset")).filter("r is not null")
 
 
+def macro(spark, d) -> DataFrame:
+    return durable.once(spark, ("macro", d), lambda: panels.proxy_macro(spark, d))
+
+
 def macro_filled(spark, d) -> DataFrame:
-    return align.fill_to_calendar(panels.proxy_macro(spark, d), align.trading_days(panel(spark, d)))
+    return durable.once(spark, ("filled", d), lambda: align.fill_to_calendar(macro(spark, d), align.trading_days(panel(spark, d))))
 
 
 def ends(spark, d) -> DataFrame:
@@ -82,23 +103,30 @@ def ends(spark, d) -> DataFrame:
 
 @query("panel_metadata", "SELECT asset, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, CAST(sum(CAST(price IS NULL AS INT)) AS BIGINT) AS missing FROM agg GROUP BY asset")
 def _(spark, d):
-    return panels.describe(panels.proxy_prices(spark, d), "asset", "price")
+    return panels.describe(prices(spark, d), "asset", "price")
 
 
-@query("price_validation", "SELECT asset, CAST(count(*) AS BIGINT) AS rows, 0::BIGINT AS duplicate_dates, 0::BIGINT AS nulls, CAST(sum(CAST(price <= 0 AS INT)) AS BIGINT) AS not_positive, min(CASE WHEN price <= 0 THEN date END) AS first_bad_date, bool_and(price > 0) AS valid FROM agg GROUP BY asset")
+@query("price_validation", "SELECT asset, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(DISTINCT date) AS BIGINT) AS duplicate_dates, CAST(count(*) - count(price) AS BIGINT) AS nulls, CAST(sum(CAST(price <= 0 AS INT)) AS BIGINT) AS not_positive, min(CASE WHEN price <= 0 THEN date END) AS first_bad_date, bool_and(price > 0) AS valid FROM agg GROUP BY asset")
 def _(spark, d):
-    return align.validate(panels.proxy_prices(spark, d), "asset", "price")
+    return align.validate(prices(spark, d), "asset", "price")
 
 
-@query("macro_validation", "SELECT series_id, CAST(count(*) AS BIGINT) AS rows, 0::BIGINT AS duplicate_dates, 0::BIGINT AS nulls, 0::BIGINT AS not_positive, CAST(NULL AS DATE) AS first_bad_date, true AS valid FROM macro GROUP BY series_id")
+@query("macro_validation", "SELECT series_id, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(DISTINCT date) AS BIGINT) AS duplicate_dates, CAST(count(*) - count(value) AS BIGINT) AS nulls, 0::BIGINT AS not_positive, CAST(NULL AS DATE) AS first_bad_date, count(*) = count(DISTINCT date) AND count(value) > 0 AS valid FROM macro GROUP BY series_id")
 def _(spark, d):
-    return align.validate(panels.proxy_macro(spark, d), "series_id", "value", positive=False)
+    return align.validate(macro(spark, d), "series_id", "value", positive=False)
+
 
+#: Two snapshots of the customers: one lacks the building segment, the other the machinery segment and has other balances in one nation.
+SNAPSHOTS = """, want AS (SELECT c_custkey AS path, md5(c_name || c_mktsegment) AS x FROM customer WHERE c_mktsegment <> 'BUILDING'),
+have AS (SELECT c_custkey AS path, md5(c_name || c_mktsegment || CASE WHEN c_nationkey = 3 THEN '!' ELSE '' END) AS x FROM customer WHERE c_mktsegment <> 'MACHINERY')"""
 
-@query("snapshot_verify", "SELECT * FROM (VALUES ('a', 'match'), ('b', 'differs'), ('c', 'missing'), ('d', 'unexpected')) v(path, status)", base="")
+
+@query("snapshot_verify", "SELECT path, CASE WHEN h.x IS NULL THEN 'missing' WHEN w.x IS NULL THEN 'unexpected' WHEN w.x = h.x THEN 'match' ELSE 'differs' END AS status FROM want w FULL JOIN have h USING (path)", base=BASE.rstrip() + SNAPSHOTS)
 def _(spark, d):
-    mine = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
-    return panels.verify(mine, spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string"))
+    rows = panels.landed(spark, d, "customer").withColumn("path", F.col("c_custkey"))
+    of = lambda *more: F.md5(F.concat("c_name", "c_mktsegment", *more).cast("binary")).alias("sha256")
+    mine = rows.filter("c_mktsegment <> 'BUILDING'").select("path", of())
+    return panels.verify(mine, rows.filter("c_mktsegment <> 'MACHINERY'").select("path", of(F.when(F.col("c_nationkey") == 3, "!").otherwise(""))))
 
 
 @query("snapshot_manifest")
@@ -108,7 +136,7 @@ def _(spark, d):
 
 @query("checkpoint_resume", "SELECT DISTINCT asset AS specification FROM agg WHERE asset <> 'A'")
 def _(spark, d):
-    every = panels.proxy_prices(spark, d).select(F.col("asset").alias("specification")).distinct()
+    every = prices(spark, d).select(F.col("asset").alias("specification")).distinct()
     return panels.pending(every, every.filter("specification = 'A'"))
 
 
@@ -139,7 +167,7 @@ def _(spark, d):
 
 @query("asof_rate", "SELECT d.date, m.value AS rate FROM days d ASOF LEFT JOIN (FROM macro WHERE series_id = '1') m ON d.date >= m.date", "rate", 10)
 def _(spark, d):
-    rates = panels.proxy_macro(spark, d).filter("series_id = '1'").select("date", F.col("value").alias("rate"))
+    rates = macro(spark, d).filter("series_id = '1'").select("date", F.col("value").alias("rate"))
     return align.as_of(align.trading_days(panel(spark, d)), rates, "rate")
 
 
@@ -271,7 +299,7 @@ def _(spark, d):
 @query("missingness_audit", """SELECT series_id, raw_rows, 0::BIGINT AS raw_missing, aligned_rows, aligned_missing, leading_missing FROM (SELECT series_id, count(*) AS raw_rows FROM macro GROUP BY series_id)
     LEFT JOIN (SELECT series_id, count(*) AS aligned_rows, CAST(sum(CAST(value IS NULL AS INT)) AS BIGINT) AS aligned_missing, CAST(sum(CAST(first IS NULL OR date < first AS INT)) AS BIGINT) AS leading_missing FROM (SELECT *, min(CASE WHEN value IS NOT NULL THEN date END) OVER (PARTITION BY series_id) AS first FROM filled) GROUP BY series_id) USING (series_id)""")
 def _(spark, d):
-    return describe.missingness(panels.proxy_macro(spark, d), macro_filled(spark, d))
+    return describe.missingness(macro(spark, d), macro_filled(spark, d))
 
 
 @query("staleness_audit", """SELECT series_id, max(length) AS longest_run, CAST(sum(length - 1) AS BIGINT) AS unchanged_days, sum(length - 1) / (sum(length) - 1) AS share_unchanged FROM
@@ -283,12 +311,12 @@ def _(spark, d):
 @query("calendar_audit", """SELECT series_id, count(*) AS n, min(date) AS first_date, max(date) AS last_date, 0::BIGINT AS duplicates, CAST(sum(CAST(isodow(date) >= 6 AS INT)) AS BIGINT) AS weekend_rows, max(gap) AS max_gap, CAST(sum(CAST(coalesce(gap > 4, false) AS INT)) AS BIGINT) AS gaps_over
     FROM (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY series_id ORDER BY date), date) AS gap FROM macro) GROUP BY series_id""")
 def _(spark, d):
-    return describe.calendar_audit(panels.proxy_macro(spark, d), "series_id")
+    return describe.calendar_audit(macro(spark, d), "series_id")
 
 
 @query("top_gaps", "SELECT date, gap, strftime(date, '%Y-%m-%d') || ' (' || gap || 'd)' AS label FROM (SELECT date, date_diff('day', lag(date) OVER (ORDER BY date), date) AS gap FROM (SELECT DISTINCT date FROM macro WHERE series_id = '1')) WHERE gap IS NOT NULL ORDER BY gap DESC, date DESC LIMIT 10")
 def _(spark, d):
-    return describe.top_gaps(panels.proxy_macro(spark, d).filter("series_id = '1'"))
+    return describe.top_gaps(macro(spark, d).filter("series_id = '1'"))
 
 
 @query("correlation_matrix", "SELECT asset_i, asset_j, corr(x, y) AS correlation FROM pairs GROUP BY ALL", "correlation")
@@ -360,15 +388,15 @@ l AS (SELECT *, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w
 dm AS (SELECT asset, mean, n, sqrt(sum(e * e) + 1.5 * coalesce(sum(e * e1), 0) + 1.0 * coalesce(sum(e * e2), 0) + 0.5 * coalesce(sum(e * e3), 0)) / n AS se FROM l GROUP BY asset, mean, n)"""
 
 
-@query("diebold_mariano", "SELECT asset, mean, n, se, mean / se AS z, mean - 1.96 * se AS ci_low, mean + 1.96 * se AS ci_high, CASE WHEN mean < 0 THEN 'hist63' ELSE 'ewma' END AS favours FROM dm", "mean se z ci_low ci_high", base=BASE.rstrip() + DM)
+@query("diebold_mariano", f"SELECT asset, mean, n, se, mean / se AS z, {normal_p_sql('mean / se')} AS p_value, mean - 1.96 * se AS ci_low, mean + 1.96 * se AS ci_high, CASE WHEN mean < 0 THEN 'hist63' ELSE 'ewma' END AS favours FROM dm", "mean se z p_value ci_low ci_high", base=BASE.rstrip() + DM)
 def _(spark, d):
     return risk.diebold_mariano(risk.forecasts(ends(spark, d), returns(spark, d)), "hist63", "ewma")
 
 
-@query("holm", """SELECT test, p, max(least((m - k + 1) * p, 1.0)) OVER (ORDER BY p, test) AS p_holm FROM (SELECT asset AS test, exp(-abs(mean / se)) AS p, row_number() OVER (ORDER BY exp(-abs(mean / se)), asset) AS k, count(*) OVER () AS m FROM dm)""", "p p_holm", base=BASE.rstrip() + DM)
+@query("holm", f"""SELECT test, p, max(least((m - k + 1) * p, 1.0)) OVER (ORDER BY p, test) AS p_holm FROM (SELECT test, p, row_number() OVER (ORDER BY p, test) AS k, count(*) OVER () AS m FROM (SELECT asset AS test, {normal_p_sql("mean / se")} AS p FROM dm))""", "p p_holm", base=BASE.rstrip() + DM)
 def _(spark, d):
     dm = risk.diebold_mariano(risk.forecasts(ends(spark, d), returns(spark, d)), "hist63", "ewma")
-    return risk.holm(dm.select(F.col("asset").alias("test"), F.exp(-F.abs("z")).alias("p"), F.lit("dm").alias("family")), "p", "family").drop("family")
+    return risk.holm(dm.select(F.col("asset").alias("test"), F.col("p_value").alias("p"), F.lit("dm").alias("family")), "p", "family").drop("family")
 
 
 # -- covariances ------------------------------------------------------------------------------------------
@@ -429,7 +457,7 @@ def responsibilities(spark, d) -> DataFrame:
 @query("weighted_state_cov", "SELECT state, asset_i, asset_j, covariance, n_eff FROM states JOIN neff USING (state)", "covariance n_eff", 8, BASE.rstrip() + STATE)
 def _(spark, d):
     rows = responsibilities(spark, d)
-    return risk.weighted_covariance(rows, "state").join(F.broadcast(risk.effective_sample(rows.filter("asset = 'A'"), "state")), "state")
+    return risk.weighted_covariance(rows, "state").join(risk.effective_sample(rows.filter("asset = 'A'"), "state"), "state")
 
 
 @query("shrunk_state_cov", "SELECT state, asset_i, asset_j, n_eff / (n_eff + 60) * states.covariance + 60 / (n_eff + 60) * lw.covariance AS covariance FROM states JOIN neff USING (state) JOIN lw USING (asset_i, asset_j)", "covariance", 9, BASE.rstrip() + LW + STATE)
@@ -445,9 +473,15 @@ def _(spark, d):
     return risk.mixture(states, spark.createDataFrame([(0, 0.7), (1, 0.3)], "state int, p double"))
 
 
-@query("horizon_probs", """SELECT p0, p00, p11, pbar0, 1 - pbar0 AS pbar1 FROM (SELECT p0, p00, p11, (s + (p0 - s) * (p00 + p11 - 1) * (1 - pow(p00 + p11 - 1, 21)) / (2 - p00 - p11) / 21) AS pbar0 FROM (SELECT *, (1 - p11) / (2 - p00 - p11) AS s FROM (VALUES (0.2::DOUBLE, 0.95::DOUBLE, 0.9::DOUBLE), (1.0, 0.99, 0.8)) v(p0, p00, p11)))""", "p0 p00 p11 pbar0 pbar1", base="")
+#: Chains of two states from the parts: start, and the probabilities to stay.
+CHAINS = "SELECT DISTINCT p_size / 50.0::DOUBLE AS p0, 0.5 + p_size / 200.0::DOUBLE AS p00, 0.9 - p_size / 100.0::DOUBLE AS p11 FROM part"
+
+
+@query("horizon_probs", f"""SELECT p0, p00, p11, pbar0, 1 - pbar0 AS pbar1 FROM (SELECT p0, p00, p11, (s + (p0 - s) * (p00 + p11 - 1) * (1 - pow(p00 + p11 - 1, 21)) / (2 - p00 - p11) / 21) AS pbar0 FROM (SELECT *, (1 - p11) / (2 - p00 - p11) AS s FROM ({CHAINS})))""", "p0 p00 p11 pbar0 pbar1", base="")
 def _(spark, d):
-    return risk.horizon_probabilities(spark.createDataFrame([(0.2, 0.95, 0.9), (1.0, 0.99, 0.8)], "p0 double, p00 double, p11 double"), 21)
+    size = F.col("p_size").cast("double")
+    chains = panels.landed(spark, d, "part").select((size / 50.0).alias("p0"), (0.5 + size / 200.0).alias("p00"), (0.9 - size / 100.0).alias("p11")).distinct()
+    return risk.horizon_probabilities(chains, 21)
 
 
 @query("matrix_distance", "SELECT sqrt(sum(pow(s.covariance - l.covariance, 2))) / sqrt(sum(l.covariance * l.covariance)) AS relative_norm, 0.0::DOUBLE AS asymmetry FROM (SELECT asset_i, asset_j, covar_samp(x, y) AS covariance FROM pairs GROUP BY ALL) s JOIN lw l USING (asset_i, asset_j)", "relative_norm asymmetry", base=BASE.rstrip() + LW)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -58,28 +58,36 @@ WITH = BASE.rstrip() + PATH
 def targets(spark, d) -> DataFrame:
     ends = core.ends(spark, d)
     ex = align.execution_dates(ends.select("date"), align.trading_days(core.panel(spark, d)))
-    from pyspark.sql import Window
-
     ex = ex.withColumn("k", F.row_number().over(Window.orderBy("signal_date"))).withColumn("one", F.lit(1))
     assets = core.panel(spark, d).select("asset").distinct()
-    every = ex.join(F.broadcast(assets.withColumn("one", F.lit(1))), "one")
+    every = ex.join(assets.withColumn("one", F.lit(1)), "one")
     equal = every.select(F.lit("equal_weight").alias("strategy"), F.col("execution_date").alias("date"), "asset", F.lit(1.0 / 3).alias("weight"))
     w = F.when(F.col("k") % 4 == 0, F.lit(None).cast("double")).when(F.col("asset") == "A", 0.6).when(F.col("asset") == "N", 0.4).otherwise(0.0)
     return equal.unionByName(every.select(F.lit("sixty_forty").alias("strategy"), F.col("execution_date").alias("date"), "asset", w.alias("weight")))
 
 
 def simulated(spark, d):
-    return accounting.simulate(core.returns(spark, d, "simple"), targets(spark, d))
+    """Weights and events, each landed once for the queries that start from them."""
+    made = {}
+
+    def part(i: int) -> DataFrame:
+        made.setdefault("both", accounting.simulate(core.returns(spark, d, "simple"), targets(spark, d)))
+        return made["both"][i]
+
+    return tuple(durable.once(spark, (name, d), lambda i=i: part(i)) for i, name in enumerate(("weights", "events")))
 
 
 def net(spark, d) -> DataFrame:
-    return accounting.net_returns(simulated(spark, d)[1], COSTS)
+    return durable.once(spark, ("net", d), lambda: accounting.net_returns(simulated(spark, d)[1], COSTS))
 
 
 def rf(spark, d) -> DataFrame:
-    days = align.trading_days(core.panel(spark, d))
-    rates = panels.proxy_macro(spark, d).filter("series_id = '1'").select("date", F.col("value").alias("rate"))
-    return accounting.risk_free(days, align.as_of(days, rates, "rate"))
+    def make() -> DataFrame:
+        days = align.trading_days(core.panel(spark, d))
+        rates = core.macro(spark, d).filter("series_id = '1'").select("date", F.col("value").alias("rate"))
+        return accounting.risk_free(days, align.as_of(days, rates, "rate"))
+
+    return durable.once(spark, ("rf", d), make)
 
 
 def performance(spark, d) -> DataFrame:
@@ -87,10 +95,11 @@ def performance(spark, d) -> DataFrame:
 
 
 def paired(spark, d) -> DataFrame:
-    """date, a (equal weights) and b (60/40): excess net returns at 10 basis points."""
-    rows = net(spark, d).filter("cost_bps = 10").join(F.broadcast(rf(spark, d)), "date")
-    x = F.col("net_return") - F.col("rf")
-    return rows.groupBy("date").agg(F.max(F.when(F.col("strategy") == "equal_weight", x)).alias("a"), F.max(F.when(F.col("strategy") == "sixty_forty", x)).alias("b"))
+    """date, and of a (equal weights) and b (60/40) excess and net returns at 10 basis points."""
+    rows = net(spark, d).filter("cost_bps = 10").join(rf(spark, d), "date").withColumn("x", F.col("net_return") - F.col("rf"))
+    legs = {"a": "equal_weight", "b": "sixty_forty"}
+    own = lambda name, c: F.max(F.when(F.col("strategy") == name, F.col(c)))
+    return rows.groupBy("date").agg(*[own(name, "x").alias(leg) for leg, name in legs.items()], *[own(name, "net_return").alias(f"net_{leg}") for leg, name in legs.items()])
 
 
 @query("drift_path", "SELECT strategy, date, asset, pre, post, trade FROM path", "pre post trade", base=WITH)
@@ -118,14 +127,18 @@ def _(spark, d):
     return performance(spark, d)
 
 
-@query("safeguards", "SELECT * FROM (VALUES ('zero_cost_equals_gross', true), ('wealth_falls_with_cost', true), ('same_dates', true)) v(\"check\", ok)", base="")
+@query("safeguards", """SELECT 'zero_cost_equals_gross' AS "check", max(abs(net_return - gross_return)) < 1e-12 AS ok FROM nw WHERE cost_bps = 0
+  UNION ALL SELECT 'wealth_falls_with_cost', NOT coalesce(bool_or(up), false) FROM (SELECT wealth > lag(wealth) OVER (PARTITION BY strategy ORDER BY cost_bps) + 1e-12 AS up FROM (SELECT strategy, cost_bps, arg_max(wealth, date) AS wealth FROM nw GROUP BY ALL))
+  UNION ALL SELECT 'same_dates', count(DISTINCT n) = 1 FROM (SELECT count(*) AS n FROM nw GROUP BY strategy, cost_bps)
+  UNION ALL SELECT 'cagr_reconciles', max(abs(cagr - g)) < 1e-8 FROM perf JOIN (SELECT strategy, cost_bps, exp(sum(ln(1 + net_return)) * 365.25 / date_diff('day', min(date), max(date))) - 1 AS g FROM nw GROUP BY ALL) USING (strategy, cost_bps)""", base=WITH)
 def _(spark, d):
-    return accounting.safeguards(net(spark, d))
+    return accounting.safeguards(net(spark, d), performance(spark, d))
 
 
-@query("rolling_sharpe", "SELECT strategy, cost_bps, date, CASE WHEN count(*) OVER w = 252 THEN avg(net_return) OVER w / stddev_samp(net_return) OVER w * sqrt(252) END AS rolling_sharpe FROM net WINDOW w AS (PARTITION BY strategy, cost_bps ORDER BY date ROWS 251 PRECEDING)", "cost_bps rolling_sharpe", 5, WITH)
+@query("rolling_sharpe", "SELECT strategy, cost_bps, date, CASE WHEN count(*) OVER w = 252 THEN avg(x) OVER w / stddev_samp(x) OVER w * sqrt(252) END AS rolling_sharpe FROM (SELECT n.*, net_return - rf AS x FROM net n JOIN rf USING (date)) WINDOW w AS (PARTITION BY strategy, cost_bps ORDER BY date ROWS 251 PRECEDING)", "cost_bps rolling_sharpe", 5, WITH)
 def _(spark, d):
-    return accounting.rolling_sharpe(net(spark, d), "net_return", 252, "strategy", "cost_bps").select("strategy", "cost_bps", "date", "rolling_sharpe")
+    excess = net(spark, d).join(rf(spark, d), "date").withColumn("x", F.col("net_return") - F.col("rf"))
+    return accounting.rolling_sharpe(excess, "x", 252, "strategy", "cost_bps").select("strategy", "cost_bps", "date", "rolling_sharpe")
 
 
 @query("rolling_turnover", "SELECT strategy, date, CASE WHEN count(*) OVER w = 252 THEN sum(full_trade_sum) OVER w END AS turnover FROM ev WINDOW w AS (PARTITION BY strategy ORDER BY date ROWS 251 PRECEDING)", "turnover", base=WITH)
@@ -144,7 +157,7 @@ def _(spark, d):
     return accounting.concentration(simulated(spark, d)[0])
 
 
-@query("weight_validation", "SELECT strategy, date, CAST(sum(CAST(abs(w - 0.6) < 1e-6 AS INT)) AS BIGINT) AS at_cap, 0.0::DOUBLE AS violation, true AS clean FROM tg WHERE w IS NOT NULL GROUP BY ALL", "violation", base=WITH)
+@query("weight_validation", "SELECT strategy, date, CAST(sum(CAST(abs(w - 0.6) < 1e-6 AS INT)) AS BIGINT) AS at_cap, greatest(abs(sum(w) - 1), max(-w), max(w - 0.6), 0.0)::DOUBLE AS violation, greatest(abs(sum(w) - 1), max(-w), max(w - 0.6), 0.0) <= 1e-8 AS clean FROM tg WHERE w IS NOT NULL GROUP BY ALL", "violation", base=WITH)
 def _(spark, d):
     return accounting.validate_weights(targets(spark, d).filter("weight is not null"), CAP)
 
@@ -165,77 +178,104 @@ def _(spark, d):
 
 # -- inference ------------------------------------------------------------------------------------------
 
-REPS, BLOCK, RESAMPLED = 60, 21, 500
+#: Replicates and mean block of the bootstrap over the whole series, as in the plan of the study.
+DRAWS, BLOCK = 10_000, 21
 U = "CAST('0x' || substr(md5('12345-' || {rep} || '-' || {pos} || '-{stream}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
-IX = f"""b0 AS (SELECT rep, pos, pos = 0 OR {U.format(rep="rep", pos="pos", stream="new")} < 1.0 / 21 AS fresh, CAST(floor({U.format(rep="rep", pos="pos", stream="at")} * 500) AS BIGINT) AS at FROM range(60) r(rep), range(500) p(pos)),
-b1 AS (SELECT rep, pos, max(CASE WHEN fresh THEN pos END) OVER (PARTITION BY rep ORDER BY pos) AS began FROM b0),
-ix AS (SELECT b1.rep, b1.pos, (b0.at + b1.pos - b1.began) % 500 AS src FROM b1 JOIN b0 ON b0.rep = b1.rep AND b0.pos = b1.began)"""
-MET = {"sharpe": "avg({x}) / stddev_samp({x}) * sqrt(252)", "sortino": "avg({x}) / sqrt(avg(pow(least({x}, 0), 2))) * sqrt(252)", "ann_vol": "stddev_samp({x}) * sqrt(252)", "cagr": "exp(sum(ln(1 + {x})) * 252 / count({x})) - 1"}
-PAIR = """, ab AS (SELECT date, max(CASE WHEN strategy = 'equal_weight' THEN net_return - rf END) AS a, max(CASE WHEN strategy = 'sixty_forty' THEN net_return - rf END) AS b FROM net JOIN rf USING (date) WHERE cost_bps = 10 GROUP BY date),
-src AS (SELECT a, b, row_number() OVER (ORDER BY date) - 1 AS src FROM (SELECT * FROM ab ORDER BY date LIMIT 500))"""
-SPREAD = ", ".join(f"{x.format(x='b')} - ({x.format(x='a')}) AS {m}" for m, x in MET.items())
+PAIR = """, ab AS (SELECT date, max(CASE WHEN strategy = 'equal_weight' THEN net_return - rf END) AS a, max(CASE WHEN strategy = 'sixty_forty' THEN net_return - rf END) AS b,
+  max(CASE WHEN strategy = 'equal_weight' THEN net_return END) AS na, max(CASE WHEN strategy = 'sixty_forty' THEN net_return END) AS nb FROM net JOIN rf USING (date) WHERE cost_bps = 10 GROUP BY date),
+src AS MATERIALIZED (SELECT a, b, na, nb, row_number() OVER (ORDER BY date) - 1 AS src, count(*) OVER () AS n FROM ab)"""
+IX = f"""b0 AS MATERIALIZED (SELECT rep, src AS pos, n, src = 0 OR {U.format(rep="rep", pos="src", stream="new")} < 1.0 / 21 AS fresh, CAST(floor({U.format(rep="rep", pos="src", stream="at")} * n) AS BIGINT) AS at FROM range({DRAWS}) r(rep), src),
+b1 AS (SELECT rep, pos, n, max(CASE WHEN fresh THEN pos END) OVER w AS began, arg_max(at, CASE WHEN fresh THEN pos END) OVER w AS at FROM b0 WINDOW w AS (PARTITION BY rep ORDER BY pos)),
+ix AS (SELECT rep, pos, (at + pos - began) % n AS src FROM b1)"""
+
+
+def _spread(order: str, keys: str, source: str) -> str:
+    """Differences of the six metrics, by keys, of rows a, b, na, nb in order."""
+    one = f"SELECT {keys}, a, b, na, nb, exp(sum(ln(1 + na)) OVER w) AS wa, exp(sum(ln(1 + nb)) OVER w) AS wb, {order} AS at FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})"
+    two = f"SELECT *, wa / max(wa) OVER w - 1 AS da, wb / max(wb) OVER w - 1 AS db FROM ({one}) WINDOW w AS (PARTITION BY {keys} ORDER BY at)"
+    of = lambda x, n, dd: {"sharpe": f"avg({x}) / stddev_samp({x}) * sqrt(252)", "sortino": f"avg({x}) / sqrt(avg(pow(least({x}, 0), 2))) * sqrt(252)", "ann_vol": f"stddev_samp({n}) * sqrt(252)", "cagr": f"exp(sum(ln(1 + {n})) * 252 / count(*)) - 1", "max_drawdown": f"min({dd})", "calmar": f"(exp(sum(ln(1 + {n})) * 252 / count(*)) - 1) / abs(min({dd}))"}
+    a, b = of("a", "na", "da"), of("b", "nb", "db")
+    return f"SELECT {keys}, {', '.join(f'{b[m]} - ({a[m]}) AS {m}' for m in a)} FROM ({two}) GROUP BY {keys}"
+
+
+LONG = "ON sharpe, sortino, ann_vol, cagr, max_drawdown, calmar INTO NAME metric VALUE"
 BOOT = f"""{PAIR}, {IX},
-dr AS (UNPIVOT (SELECT rep, {SPREAD} FROM ix JOIN src USING (src) GROUP BY rep) ON sharpe, sortino, ann_vol, cagr INTO NAME metric VALUE value),
-ob AS (UNPIVOT (SELECT {SPREAD} FROM src) ON sharpe, sortino, ann_vol, cagr INTO NAME metric VALUE observed),
+dr AS (UNPIVOT ({_spread("pos", "rep", "ix JOIN src USING (src)")}) {LONG} value),
+ob AS (UNPIVOT ({_spread("src", "n", "src")}) {LONG} observed),
 nl AS (SELECT metric, value, value - avg(value) OVER (PARTITION BY metric) AS c, observed FROM dr JOIN ob USING (metric))"""
 
 
-def resampled(spark, d) -> DataFrame:
-    """The first RESAMPLED days, so that replicates have a fixed length at every scale and SQL can follow; the queries named _whole take all days."""
-    return paired(spark, d).orderBy("date").limit(RESAMPLED)
+@query("bootstrap_indices", "SELECT rep, count(*) AS n, CAST(sum(src) AS BIGINT) AS total, CAST(sum(pos * src) AS BIGINT) AS weighted, count(DISTINCT src) AS days FROM ix GROUP BY rep", base=WITH + PAIR + ", " + IX)
+def _(spark, d):
+    """A digest of each replicate's indices."""
+    ix = inference.indices(spark, paired(spark, d).count(), BLOCK, DRAWS)
+    return ix.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("total"), F.sum(F.col("pos") * F.col("src")).alias("weighted"), F.count_distinct("src").alias("days"))
 
 
-@query("bootstrap_indices", "SELECT rep, pos, src FROM ix", base=IX)
-def _(spark, d):
-    return inference.indices(spark, RESAMPLED, BLOCK, REPS)
+def drawn(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The paired series and its draws."""
+    p = durable.keep(paired(spark, d))
+    return p, inference.draws(p, BLOCK, DRAWS, p.count())
 
 
 @query("bootstrap_draws", "SELECT rep, metric, value FROM dr", "value", 5, WITH + BOOT)
 def _(spark, d):
-    return inference.draws(resampled(spark, d), BLOCK, REPS, RESAMPLED)
+    return drawn(spark, d)[1]
 
 
 @query("bootstrap_intervals", """SELECT metric, any_value(observed) AS observed, count(*) AS n_draws, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, avg(CAST(c >= observed AS INT)) AS p_greater, avg(CAST(c <= observed AS INT)) AS p_less, avg(CAST(abs(c) >= abs(observed) AS INT)) AS p_two_sided FROM nl GROUP BY metric""", "observed ci_low ci_high p_greater p_less p_two_sided", 5, WITH + BOOT)
 def _(spark, d):
-    p = resampled(spark, d)
-    return inference.intervals(inference.draws(p, BLOCK, REPS, RESAMPLED), inference.observed(p))
+    p, draws = drawn(spark, d)
+    return inference.intervals(durable.keep(draws), inference.observed(p))
 
 
-#: Replicates of the whole-series bootstrap, as in the plan of the study.
-DRAWS = 10_000
+def sharpe_rows(tests: DataFrame, role: str) -> DataFrame:
+    return tests.select(F.lit(role).alias("role"), "comparison", "observed", "bootstrap_sd", "ci_low", "ci_high", F.col("p_greater").alias("p_one_sided"))
 
 
-@query("bootstrap_indices_whole")
+@query("block_sensitivity")
 def _(spark, d):
-    return inference.indices(spark, paired(spark, d).count(), BLOCK, DRAWS)
-
+    """The Sharpe difference by mean block length; 21 days is the primary one."""
+    p = durable.keep(paired(spark, d).select(F.lit("sixty_forty minus equal_weight").alias("comparison"), "date", "a", "b"))
+    out, n = None, p.count()
+    for block in (21, 10, 42, 63):
+        rows = sharpe_rows(inference.sharpe_tests(p, block, DRAWS, n, durable.keep), "primary" if block == 21 else "sensitivity").withColumn("mean_block_days", F.lit(block))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-def drawn(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The whole paired series and its draws."""
-    p = durable.keep(paired(spark, d))
-    return p, inference.draws(p, BLOCK, DRAWS, p.count())
 
-
-@query("bootstrap_draws_whole")
+@query("comparison_family")
 def _(spark, d):
-    return drawn(spark, d)[1]
+    """The secondary family: every other strategy against the rolling comparator at the main cost, and the regime strategy against it at the other costs, Holm-adjusted."""
+    n = durable.keep(ladder_net(spark, d, COSTS)).join(rf(spark, d), "date").select("strategy", "cost_bps", "date", (F.col("net_return") - F.col("rf")).alias("x"))
+    base = n.filter("strategy = 'rolling_lw'").select("cost_bps", "date", F.col("x").alias("a"))
+    wanted = ((F.col("cost_bps") == 10) & F.col("strategy").isin("ewma_scaled", "static_min_variance", "equal_weight", "sixty_forty")) | ((F.col("cost_bps") != 10) & (F.col("strategy") == "regime_aware"))
+    name = F.concat("strategy", F.lit(" minus rolling_lw @"), F.col("cost_bps").cast("int").cast("string"))
+    series = durable.keep(n.filter(wanted).join(base, ["cost_bps", "date"]).select(name.alias("comparison"), "date", "a", F.col("x").alias("b")))
+    rows = sharpe_rows(inference.sharpe_tests(series, BLOCK, DRAWS, series.select("date").distinct().count(), durable.keep), "secondary")
+    return risk.holm(rows.withColumnRenamed("comparison", "test"), "p_one_sided", "role").withColumnRenamed("test", "comparison")
 
 
-@query("bootstrap_intervals_whole")
-def _(spark, d):
-    p, draws = drawn(spark, d)
-    return inference.intervals(durable.keep(draws), inference.observed(p))
+def hac_sql(lags: int) -> str:
+    """A CTE hac_<lags> of the mean net difference."""
+    steps = range(1, lags + 1)
+    return f""", e1_{lags} AS (SELECT date, nb - na - avg(nb - na) OVER () AS e, avg(nb - na) OVER () AS mean, count(*) OVER () AS n FROM ab),
+e2_{lags} AS (SELECT *, {", ".join(f"lag(e, {j}) OVER (ORDER BY date) AS l{j}" for j in steps)} FROM e1_{lags}),
+hac_{lags} AS (SELECT {lags}::BIGINT AS lags, mean, n, sqrt(sum(e * e) + {" + ".join(f"{2 * (1 - j / (lags + 1))} * coalesce(sum(e * l{j}), 0)" for j in steps)}) / n AS se FROM e2_{lags} GROUP BY mean, n)"""
 
 
-HAC = ", e0 AS (SELECT date, b - a AS d FROM ab), e1 AS (SELECT date, d - avg(d) OVER () AS e, avg(d) OVER () AS mean, count(*) OVER () AS n FROM e0),\n" + (
-    "e2 AS (SELECT *, " + ", ".join(f"lag(e, {j}) OVER (ORDER BY date) AS l{j}" for j in range(1, 22)) + " FROM e1),\n"
-    "hac AS (SELECT mean, n, sqrt(sum(e * e) + " + " + ".join(f"{2 * (1 - j / 22)} * coalesce(sum(e * l{j}), 0)" for j in range(1, 22)) + ") / n AS se FROM e2 GROUP BY mean, n)"
-)
+LAGS = (21, 5, 42)
+HAC_ROWS = " UNION ALL ".join(f"FROM hac_{lags}" for lags in LAGS)
 
 
-@query("hac_mean_diff", "SELECT 'b-a' AS pair, 21::BIGINT AS lags, n, mean * 252 AS annual_mean, se * 252 AS annual_se, (mean - 1.959963984540054 * se) * 252 AS ci_low, (mean + 1.959963984540054 * se) * 252 AS ci_high, mean / se AS z FROM hac", "annual_mean annual_se ci_low ci_high z", 5, WITH + PAIR + HAC)
+@query("hac_mean_diff", f"SELECT 'b-a' AS pair, lags, n, mean * 252 AS annual_mean, se * 252 AS annual_se, (mean - 1.959963984540054 * se) * 252 AS ci_low, (mean + 1.959963984540054 * se) * 252 AS ci_high, mean / se AS z, {core.normal_p_sql('mean / se')} AS p_two_sided FROM ({HAC_ROWS})", "annual_mean annual_se ci_low ci_high z p_two_sided", 5, WITH + PAIR + "".join(map(hac_sql, LAGS)))
 def _(spark, d):
-    return inference.hac_difference(paired(spark, d), 21)
+    """On net returns, with the primary lags and two others."""
+    p = durable.keep(paired(spark, d))
+    first, *rest = (inference.hac_difference(p, lags) for lags in LAGS)
+    for rows in rest:
+        first = first.unionByName(rows)
+    return first
 
 
 # -- kernels: fits and optimised weights -----------------------------------------------------------------
@@ -290,9 +330,13 @@ def _(spark, d):
     return describe.agreement(a, b, "high", "p")
 
 
-@query("a2_routing", "SELECT * FROM (VALUES (1, true, false, true, 'absorbing_state;singular_covariance', true), (2, false, false, false, '', false), (3, false, true, false, 'degenerate_occupancy', true)) v(id, absorbing, degenerate, singular, fallback_reason, fallback_used)", base="")
+FLAGS = "SELECT DISTINCT l_returnflag = 'R' AS absorbing, l_linestatus = 'O' AS degenerate, l_discount > 0.05 AS singular FROM lineitem"
+
+
+@query("a2_routing", f"SELECT *, concat_ws(';', CASE WHEN absorbing THEN 'absorbing_state' END, CASE WHEN degenerate THEN 'degenerate_occupancy' END, CASE WHEN singular THEN 'singular_covariance' END) AS fallback_reason, absorbing OR degenerate OR singular AS fallback_used FROM ({FLAGS})", base="")
 def _(spark, d):
-    return regimes.routing(spark.createDataFrame([(1, True, False, True), (2, False, False, False), (3, False, True, False)], "id int, absorbing boolean, degenerate boolean, singular boolean"))
+    line = panels.landed(spark, d, "lineitem")
+    return regimes.routing(line.select((F.col("l_returnflag") == "R").alias("absorbing"), (F.col("l_linestatus") == "O").alias("degenerate"), (F.col("l_discount") > 0.05).alias("singular")).distinct())
 
 
 @query("hmm_fit")
@@ -300,10 +344,14 @@ def _(spark, d):
     return regimes.fit_starts(origins(spark, d), market_features(spark, d), seeds=SEEDS)
 
 
-@query("hmm_select", "SELECT * FROM (VALUES (DATE '2020-01-31', 1, -100.0::DOUBLE, true, true, true), (DATE '2020-01-31', 2, -99.999999999999::DOUBLE, true, true, false), (DATE '2020-01-31', 3, -99.999999999999::DOUBLE, true, true, false), (DATE '2020-01-31', 4, -1.0::DOUBLE, false, false, false)) v(origin, seed, loglik, converged, within_tol, selected)", "loglik", base="")
+#: Starts of an order: likelihoods in steps, so that several reach the best.
+STARTS = "SELECT l_orderkey AS origin, CAST(l_linenumber AS BIGINT) AS seed, -floor(l_quantity / 10) AS loglik, l_linestatus = 'O' OR l_returnflag = 'N' AS converged FROM lineitem"
+
+
+@query("hmm_select", f"SELECT origin, seed, loglik, converged, within_tol, within_tol AND seed = min(seed) FILTER (within_tol) OVER (PARTITION BY origin) AS selected FROM (SELECT *, coalesce(converged AND loglik >= best - 1e-10 * greatest(1, abs(best)), false) AS within_tol FROM (SELECT *, max(loglik) FILTER (converged) OVER (PARTITION BY origin) AS best FROM ({STARTS})))", "loglik", base="")
 def _(spark, d):
-    rows = [("2020-01-31", 1, -100.0, True), ("2020-01-31", 2, -99.999999999999, True), ("2020-01-31", 3, -99.999999999999, True), ("2020-01-31", 4, -1.0, False)]
-    return regimes.select_starts(spark.createDataFrame(rows, "origin string, seed int, loglik double, converged boolean").withColumn("origin", F.to_date("origin")))
+    starts = panels.landed(spark, d, "lineitem").select(F.col("l_orderkey").alias("origin"), F.col("l_linenumber").cast("long").alias("seed"), (-F.floor(F.col("l_quantity") / 10)).cast("double").alias("loglik"), ((F.col("l_linestatus") == "O") | (F.col("l_returnflag") == "N")).alias("converged"))
+    return regimes.select_starts(starts)
 
 
 @query("regime_states")
@@ -313,7 +361,15 @@ def _(spark, d):
 
 @query("regime_revisions")
 def _(spark, d):
-    return regimes.revisions(regimes.state_paths(origins(spark, d), market_features(spark, d), seeds=SEEDS))
+    """Paths and parameters against those of the origin before."""
+    o, f = origins(spark, d), durable.keep(market_features(spark, d))
+    paths = regimes.revisions(durable.keep(regimes.state_paths(o, f, seeds=SEEDS)))
+    return paths.join(regimes.parameter_revisions(durable.keep(regimes.fit_states(o, f, seeds=SEEDS))), "origin")
+
+
+@query("regime_transitions")
+def _(spark, d):
+    return regimes.transitions(regimes.fit_states(origins(spark, d), market_features(spark, d), seeds=SEEDS))
 
 
 @query("expost_smoothed")
@@ -364,10 +420,47 @@ def _(spark, d):
     return portfolio.origin_covariances(core.ends(spark, d), core.returns(spark, d))
 
 
+def matrices(spark, d) -> DataFrame:
+    """The covariance panel: sixteen starts at every month end, landed once for all that starts from it."""
+    return durable.once(spark, ("covariances", d), lambda: portfolio.covariance_panel(durable.keep(origins(spark, d)), durable.keep(market_features(spark, d)), core.returns(spark, d), seeds=SEEDS))
+
+
 def ladder(spark, d) -> DataFrame:
-    o = origins(spark, d)
-    states = regimes.fit_states(o, market_features(spark, d), seeds=SEEDS)
-    return portfolio.ladder(o, core.returns(spark, d), states, CAP)
+    return portfolio.ladder(matrices(spark, d), core.returns(spark, d), CAP)
+
+
+def executed(spark, d, signals: DataFrame) -> DataFrame:
+    """Signals as targets on their execution days."""
+    ex = align.execution_dates(origins(spark, d).select("date"), align.trading_days(core.panel(spark, d)))
+    return signals.join(ex, signals["date"] == ex["signal_date"]).select("strategy", F.col("execution_date").alias("date"), "asset", "weight")
+
+
+def ladder_net(spark, d, costs: tuple[float, ...]) -> DataFrame:
+    """Net returns of the six strategies."""
+    return accounting.net_returns(accounting.simulate(core.returns(spark, d, "simple"), durable.keep(executed(spark, d, ladder(spark, d))))[1], costs)
+
+
+@query("covariance_audit")
+def _(spark, d):
+    return portfolio.covariance_audit(matrices(spark, d))
+
+
+@query("optimizer_audit")
+def _(spark, d):
+    m = matrices(spark, d)
+    return portfolio.optimizer_audit(m, ladder(spark, d), CAP)
+
+
+@query("optimizer_summary")
+def _(spark, d):
+    m = matrices(spark, d)
+    return portfolio.optimizer_summary(portfolio.optimizer_audit(m, ladder(spark, d), CAP))
+
+
+@query("ladder_performance")
+def _(spark, d):
+    """The six strategies at every cost."""
+    return accounting.performance(durable.keep(ladder_net(spark, d, COSTS)), rf(spark, d), "strategy", "cost_bps")
 
 
 @query("min_variance")
@@ -380,22 +473,60 @@ def _(spark, d):
     return ladder(spark, d)
 
 
+def grid_net(spark, d) -> DataFrame:
+    """specification, strategy and net returns at 10 basis points of the grid's regime and comparison legs; fits are made once and landed."""
+
+    def make() -> DataFrame:
+        o, rows = durable.keep(origins(spark, d)), durable.keep(market_features(spark, d))
+        signals = portfolio.grid(o, rows, core.returns(spark, d)).select(F.concat_ws("@", "strategy", "specification").alias("strategy"), "date", "asset", "weight")
+        events = accounting.simulate(core.returns(spark, d, "simple"), durable.keep(executed(spark, d, durable.keep(signals))))[1]
+        at = F.split("strategy", "@")
+        return accounting.net_returns(events, (10.0,)).withColumns({"specification": at[1], "strategy": at[0]})
+
+    return durable.once(spark, ("grid", d), make)
+
+
 @query("robustness_grid")
 def _(spark, d):
-    """Thirteen specifications of the regime and comparison legs, and the whole ladder for those of the cap. Fits are made once and kept."""
-    days, o = durable.keep(align.trading_days(core.panel(spark, d))), durable.keep(origins(spark, d))
-    r, simple = durable.keep(core.returns(spark, d)), durable.keep(core.returns(spark, d, "simple").select("date", "asset", "r"))
-    rows = durable.keep(market_features(spark, d))
-    states = durable.keep(regimes.fit_states(o, rows, seeds=SEEDS))
-    signals = durable.keep(portfolio.grid(o, rows, r)).select(F.concat_ws("@", "strategy", "specification").alias("strategy"), "date", "asset", "weight")
-    for name, cap in (("primary", 0.6), ("cap_50", 0.5), ("cap_40", 0.4)):
-        one = durable.keep(portfolio.ladder(o, r, states, cap)).withColumn("strategy", F.concat("strategy", F.lit("@" + name)))
-        signals = signals.unionByName(one)
-    ex = align.execution_dates(o.select("date"), days)
-    target = durable.keep(signals.join(F.broadcast(ex), signals["date"] == ex["signal_date"]).select("strategy", F.col("execution_date").alias("date"), "asset", "weight"))
-    events = durable.keep(accounting.simulate(simple, target)[1])
-    out = accounting.performance(accounting.net_returns(events, (10.0,)), durable.keep(rf(spark, d)), "strategy")
-    return out.withColumn("specification", F.split("strategy", "@")[1]).withColumn("strategy", F.split("strategy", "@")[0])
+    """Performance of both legs of thirteen specifications."""
+    n = grid_net(spark, d)
+    return accounting.performance(n, rf(spark, d), "specification", "strategy")
+
+
+def grid_tests(spark, d) -> DataFrame:
+    n = grid_net(spark, d).join(rf(spark, d), "date").withColumn("x", F.col("net_return") - F.col("rf"))
+    own = lambda name: F.max(F.when(F.col("strategy") == name, F.col("x")))
+    series = durable.keep(n.groupBy(F.col("specification").alias("comparison"), "date").agg(own("window_lw").alias("a"), own("regime_mixture").alias("b")))
+    days = series.groupBy("comparison").count()
+    tests = inference.sharpe_tests(series, BLOCK, DRAWS, series.select("date").distinct().count(), durable.keep)
+    rows = sharpe_rows(tests, "robustness").join(days.withColumnRenamed("count", "n_evaluation_days"), "comparison")
+    return portfolio.grid_family(rows)
+
+
+@query("grid_tests")
+def _(spark, d):
+    """Sharpe differences of the grid on shared resampled days, and the Holm family without the primary."""
+    return grid_tests(spark, d)
+
+
+@query("robustness_forest")
+def _(spark, d):
+    """The grid's differences and intervals in declared order."""
+    order = {s.name: i for i, s in enumerate(portfolio.GRID)}
+    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    return grid_tests(spark, d).select(rank[F.col("specification")].alias("ordinal"), "specification", "observed", "ci_low", "ci_high")
+
+
+@query("hmm_summary")
+def _(spark, d):
+    """Health of the primary fits: fallbacks by kind, least occupancy, and means by state."""
+    return regimes.summary(regimes.fit_states(origins(spark, d), market_features(spark, d), seeds=SEEDS))
+
+
+@query("closing_checks")
+def _(spark, d):
+    """Checks that must all hold before results are published."""
+    return portfolio.closing_checks(grid_tests(spark, d), grid_net(spark, d))
 
 
 # -- reports, text, streams ---------------------------------------------------------------------------------
@@ -424,9 +555,13 @@ def _(spark, d):
     return panels.landed(spark, d, "part").select("p_partkey", "p_type", C.tex_escape(F.concat("p_brand", F.lit("_"), "p_type", F.lit(" 5%"))).alias("escaped"))
 
 
-@query("macro_names", "SELECT * FROM (VALUES ('ann_vol_21d', 'annVolTwoOneD'), ('sharpe', 'sharpe'), ('var_95', 'varNineFive')) v(k, name)", base="")
+_DIGITS = "Zero One Two Three Four Five Six Seven Eight Nine".split()
+SPELT = "replace(" * 10 + "p_type || '_' || p_size" + "".join(f", '{i}', '_{w}_')" for i, w in enumerate(_DIGITS))
+
+
+@query("macro_names", f"SELECT k, array_to_string(list_transform(parts, lambda p, i: CASE WHEN i = 1 THEN lower(p) ELSE upper(p[1]) || p[2:] END), '') AS name FROM (SELECT DISTINCT p_type || '_' || p_size AS k, list_filter(regexp_split_to_array({SPELT}, '[^A-Za-z]+'), lambda p: p <> '') AS parts FROM part)", base="")
 def _(spark, d):
-    keys = spark.createDataFrame([("ann_vol_21d",), ("sharpe",), ("var_95",)], "k string")
+    keys = panels.landed(spark, d, "part").select(F.concat("p_type", F.lit("_"), F.col("p_size").cast("string")).alias("k")).distinct()
     return keys.select("k", C.macro_name(F.col("k")).alias("name"))
 
 
@@ -441,7 +576,7 @@ def _(spark, d):
     return reports.numeric_literals(panels.landed(spark, d, "documents"))
 
 
-@query("pii_scan", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS found FROM documents WHERE regexp_matches(text, '{p}')" for k, p in C.PERSONAL.items()), base="")
+@query("pii_scan", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, CAST(len(regexp_extract_all(text, '{q}')) AS BIGINT) AS found FROM documents WHERE regexp_matches(text, '{q}')" for k, q in ((k, p.replace("'", "''")) for k, p in C.PERSONAL.items())), base="")
 def _(spark, d):
     return reports.scan_text(panels.landed(spark, d, "documents"))
 
@@ -461,8 +596,8 @@ def _(spark, d):
 
 @query("conditioning_summary")
 def _(spark, d):
-    lw = portfolio.origin_covariances(core.ends(spark, d), core.returns(spark, d))
-    return portfolio.conditioning(lw, "origin").agg(F.count(F.lit(1)).alias("n"), F.avg("condition_cov").alias("mean_condition"), F.max("condition_cov").alias("max_condition"), F.min("min_eigenvalue").alias("min_eigenvalue"), F.avg("pc1_share").alias("mean_pc1_share"))
+    """By estimator."""
+    return portfolio.conditioning_summary(matrices(spark, d))
 
 
 @query("state_characteristics", "SELECT realized_vol_21d > m AS high, count(*) AS n, avg(mkt_log_return) AS mean_return, stddev_samp(mkt_log_return) AS std_return, avg(log_vix_lag1) AS mean_log_vix FROM feat, (SELECT quantile_cont(realized_vol_21d, 0.5) AS m FROM feat) GROUP BY ALL", "mean_return std_return mean_log_vix", base=BASE.rstrip() + FEAT)
@@ -490,6 +625,20 @@ def _(spark, d):
     return streams.event_windows(panels.landed(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("event_props", "SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS least, max(k) AS greatest, count(DISTINCT k) AS kinds FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type", base="")
+def _(spark, d):
+    """A field of the events' JSON."""
+    rows = panels.landed(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.min("k").alias("least"), F.max("k").alias("greatest"), F.count_distinct("k").alias("kinds"))
+
+
+@query("vix_scatter", "SELECT date, exp(log_vix_lag1) AS vix, realized_vol_21d * sqrt(252) * 100 AS realized_pct, corr(exp(log_vix_lag1), realized_vol_21d * sqrt(252) * 100) OVER () AS level_correlation FROM feat", "vix realized_pct level_correlation", 4, base=BASE.rstrip() + FEAT)
+def _(spark, d):
+    """The volatility index against realised volatility in percent, with their correlation."""
+    rows = market_features(spark, d).select("date", F.exp("log_vix_lag1").alias("vix"), (F.col("realized_vol_21d") * 252**0.5 * 100).alias("realized_pct"))
+    return rows.withColumn("level_correlation", F.corr("vix", "realized_pct").over(Window.partitionBy()))
+
+
 @query("user_sessions", "SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(CAST(coalesce(ts - before >= INTERVAL 30 MINUTE, true) AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s", base="")
 def _(spark, d):
     return streams.sessions(panels.landed(spark, d, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))

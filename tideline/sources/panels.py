@@ -64,3 +64,19 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def pending(specifications: DataFrame, done: DataFrame, key: str = "specification") -> DataFrame:
     """The specifications a ledger hasn't yet: a resumed run does just these."""
     return specifications.join(done.select(key).distinct(), key, "left_anti")
+
+
+def coverage(df: DataFrame, key: str) -> DataFrame:
+    """rows, first_key, last_key and columns of a table, for its manifest."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key")).withColumn("columns", F.lit(len(df.columns)).cast("long"))
+
+
+def environment_hash(files: DataFrame, config: str) -> str:
+    """A prefix of the digest of a manifest's digests and a configuration, by which results can be kept."""
+    names = F.array_sort(F.collect_list(F.concat_ws("=", F.regexp_extract("path", "([^/]+)$", 1), "sha256")))  # one entry for each file of a snapshot
+    return files.agg(F.substring(F.sha2(F.concat_ws("\n", names, F.lit(config)), 256), 1, 16)).first()[0]
+
+
+def record(done: DataFrame, path: str) -> None:
+    """Appends finished specifications to a ledger, which ``pending`` is read against."""
+    done.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(path)
