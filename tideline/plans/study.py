@@ -184,15 +184,15 @@ U = "CAST('0x' || substr(md5('12345-' || {rep} || '-' || {pos} || '-{stream}'),
 PAIR = """, ab AS (SELECT date, max(CASE WHEN strategy = 'equal_weight' THEN net_return - rf END) AS a, max(CASE WHEN strategy = 'sixty_forty' THEN net_return - rf END) AS b,
   max(CASE WHEN strategy = 'equal_weight' THEN net_return END) AS na, max(CASE WHEN strategy = 'sixty_forty' THEN net_return END) AS nb FROM net JOIN rf USING (date) WHERE cost_bps = 10 GROUP BY date),
 src AS MATERIALIZED (SELECT a, b, na, nb, row_number() OVER (ORDER BY date) - 1 AS src, count(*) OVER () AS n FROM ab)"""
-IX = f"""b0 AS MATERIALIZED (SELECT rep, src AS pos, n, src = 0 OR {U.format(rep="rep", pos="src", stream="new")} < 1.0 / 21 AS fresh, CAST(floor({U.format(rep="rep", pos="src", stream="at")} * n) AS BIGINT) AS at FROM range({DRAWS}) r(rep), src),
-b1 AS (SELECT rep, pos, n, max(CASE WHEN fresh THEN pos END) OVER w AS began, arg_max(at, CASE WHEN fresh THEN pos END) OVER w AS at FROM b0 WINDOW w AS (PARTITION BY rep ORDER BY pos)),
-ix AS (SELECT rep, pos, (at + pos - began) % n AS src FROM b1)"""
+IX = f"""b0 AS MATERIALIZED (SELECT rep, src AS pos, n, src = 0 OR {U.format(rep="rep", pos="src", stream="new")} < 1.0 / 21 AS fresh, CAST(floor({U.format(rep="rep", pos="src", stream="at")} * n) AS BIGINT) AS target FROM range({DRAWS}) r(rep), src),
+b1 AS (SELECT rep, pos, n, max(CASE WHEN fresh THEN pos END) OVER w AS began, arg_max(target, CASE WHEN fresh THEN pos END) OVER w AS target FROM b0 WINDOW w AS (PARTITION BY rep ORDER BY pos)),
+ix AS (SELECT rep, pos, (target + pos - began) % n AS src FROM b1)"""
 
 
 def _spread(order: str, keys: str, source: str) -> str:
     """Differences of the six metrics, by keys, of rows a, b, na, nb in order."""
-    one = f"SELECT {keys}, a, b, na, nb, exp(sum(ln(1 + na)) OVER w) AS wa, exp(sum(ln(1 + nb)) OVER w) AS wb, {order} AS at FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})"
-    two = f"SELECT *, wa / max(wa) OVER w - 1 AS da, wb / max(wb) OVER w - 1 AS db FROM ({one}) WINDOW w AS (PARTITION BY {keys} ORDER BY at)"
+    one = f"SELECT {keys}, a, b, na, nb, exp(sum(ln(1 + na)) OVER w) AS wa, exp(sum(ln(1 + nb)) OVER w) AS wb, {order} AS step FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})"
+    two = f"SELECT *, wa / max(wa) OVER w - 1 AS da, wb / max(wb) OVER w - 1 AS db FROM ({one}) WINDOW w AS (PARTITION BY {keys} ORDER BY step)"
     of = lambda x, n, dd: {"sharpe": f"avg({x}) / stddev_samp({x}) * sqrt(252)", "sortino": f"avg({x}) / sqrt(avg(pow(least({x}, 0), 2))) * sqrt(252)", "ann_vol": f"stddev_samp({n}) * sqrt(252)", "cagr": f"exp(sum(ln(1 + {n})) * 252 / count(*)) - 1", "max_drawdown": f"min({dd})", "calmar": f"(exp(sum(ln(1 + {n})) * 252 / count(*)) - 1) / abs(min({dd}))"}
     a, b = of("a", "na", "da"), of("b", "nb", "db")
     return f"SELECT {keys}, {', '.join(f'{b[m]} - ({a[m]}) AS {m}' for m in a)} FROM ({two}) GROUP BY {keys}"
@@ -632,7 +632,7 @@ def _(spark, d):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.min("k").alias("least"), F.max("k").alias("greatest"), F.count_distinct("k").alias("kinds"))
 
 
-@query("vix_scatter", "SELECT date, exp(log_vix_lag1) AS vix, realized_vol_21d * sqrt(252) * 100 AS realized_pct, corr(exp(log_vix_lag1), realized_vol_21d * sqrt(252) * 100) OVER () AS level_correlation FROM feat", "vix realized_pct level_correlation", 4, base=BASE.rstrip() + FEAT)
+@query("vix_scatter", "SELECT date, exp(log_vix_lag1) AS vix, realized_vol_21d * sqrt(252) * 100 AS realized_pct, corr(exp(log_vix_lag1), realized_vol_21d * sqrt(252) * 100) OVER () AS level_correlation FROM feat", "vix realized_pct level_correlation", 2, base=BASE.rstrip() + FEAT)
 def _(spark, d):
     """The volatility index against realised volatility in percent, with their correlation."""
     rows = market_features(spark, d).select("date", F.exp("log_vix_lag1").alias("vix"), (F.col("realized_vol_21d") * 252**0.5 * 100).alias("realized_pct"))
