@@ -58,12 +58,14 @@ def performance(net: DataFrame, rf: DataFrame, *keys: str) -> DataFrame:
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"), F.max_by("wealth", "date").alias("final_wealth"), F.datediff(F.max("date"), F.min("date")).alias("d"), (F.stddev_samp("net_return") * DAYS**0.5).alias("ann_vol"),
         (F.try_divide(F.avg("x"), F.stddev_samp("x")) * DAYS**0.5).alias("sharpe"), (F.try_divide(F.avg("x"), F.sqrt(F.avg(F.least("x", F.lit(0.0)) ** 2))) * DAYS**0.5).alias("sortino"),
-        F.min("dd").alias("max_drawdown"), F.percentile("net_return", 0.05).alias("q05"), F.sum("full_trade_sum").alias("traded"), F.sum("cost_fraction").alias("paid"),
+        F.min("dd").alias("max_drawdown"), F.percentile("net_return", 0.05).alias("q05"), F.percentile("net_return", 0.01).alias("q01"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.max("net_return").alias("best_day"), F.min("net_return").alias("worst_day"), (F.avg((F.col("net_return") > 0).cast("double")) * 100).alias("positive_days_pct"), F.sum("full_trade_sum").alias("traded"), F.sum("cost_fraction").alias("paid"),
     )
-    tail = rows.join(out.select(*keys, "q05"), list(keys)).filter("net_return <= q05").groupBy(*keys).agg((-F.avg("net_return")).alias("es95"))
+    below = lambda q: -F.avg(F.when(F.col("net_return") <= F.col(q), F.col("net_return")))
+    tail = rows.join(out.select(*keys, "q05", "q01"), list(keys)).groupBy(*keys).agg(below("q05").alias("es95"), below("q01").alias("es99"))
     years = F.col("n_days") / DAYS
     out = out.join(tail, list(keys)).withColumn("cagr", F.when(F.col("d") > 0, F.pow("final_wealth", F.lit(365.25) / F.col("d")) - 1))
-    return out.withColumns({"calmar": F.try_divide("cagr", F.abs("max_drawdown")), "var95": -F.col("q05"), "ann_turnover": F.col("traded") / years, "ann_cost": F.col("paid") / years}).drop("d", "q05", "traded", "paid")
+    return out.withColumns({"calmar": F.try_divide("cagr", F.abs("max_drawdown")), "var95": -F.col("q05"), "var99": -F.col("q01"), "years": F.col("d") / 365.25, "ann_turnover": F.col("traded") / years, "ann_cost": F.col("paid") / years}).drop("d", "q05", "q01", "traded", "paid")
 
 
 def safeguards(net: DataFrame, summary: DataFrame | None = None) -> DataFrame:

@@ -231,6 +231,11 @@ def _(spark, d):
     return returns(spark, d).select("asset", "date", C.rolling_std("r", 21, "asset", annualize=True).alias("vol"))
 
 
+@query("rolling_vol_63", "SELECT asset, date, CASE WHEN count(r) OVER w = 63 THEN stddev_samp(r) OVER w * sqrt(252) END AS vol FROM ret WINDOW w AS (PARTITION BY asset ORDER BY date ROWS 62 PRECEDING)", "vol")
+def _(spark, d):
+    return returns(spark, d).select("asset", "date", C.rolling_std("r", 63, "asset", annualize=True).alias("vol"))
+
+
 @query("rolling_var_63", "SELECT asset, date, CASE WHEN count(r) OVER w = 63 THEN var_samp(r) OVER w END AS variance FROM ret WINDOW w AS (PARTITION BY asset ORDER BY date ROWS 62 PRECEDING)", "variance", 9)
 def _(spark, d):
     return returns(spark, d).select("asset", "date", C.rolling_var("r", 63, "asset").alias("variance"))

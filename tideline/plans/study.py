@@ -49,9 +49,9 @@ nw AS (SELECT *, product(1 + net_return) OVER (PARTITION BY strategy, cost_bps O
 rate AS (SELECT d.date, m.value AS rate FROM days d ASOF LEFT JOIN (FROM macro WHERE series_id = '1') m ON d.date >= m.date),
 rf AS (SELECT date, coalesce(lag(rate) OVER (ORDER BY date) / 100 * date_diff('day', lag(date) OVER (ORDER BY date), date) / 360, 0) AS rf FROM rate),
 pf AS (SELECT strategy, cost_bps, count(*) AS n_days, arg_max(wealth, date) AS final_wealth, stddev_samp(net_return) * sqrt(252) AS ann_vol, avg(x) / stddev_samp(x) * sqrt(252) AS sharpe, avg(x) / sqrt(avg(pow(least(x, 0), 2))) * sqrt(252) AS sortino, min(dd) AS max_drawdown,
-  -quantile_cont(net_return, 0.05) AS var95, sum(full_trade_sum) / (count(*) / 252) AS ann_turnover, sum(cost_fraction) / (count(*) / 252) AS ann_cost, pow(arg_max(wealth, date), 365.25 / date_diff('day', min(date), max(date))) - 1 AS cagr
+  -quantile_cont(net_return, 0.05) AS var95, -quantile_cont(net_return, 0.01) AS var99, min(date) AS first_date, max(date) AS last_date, date_diff('day', min(date), max(date)) / 365.25 AS years, max(net_return) AS best_day, min(net_return) AS worst_day, avg(CAST(net_return > 0 AS INT)) * 100 AS positive_days_pct, sum(full_trade_sum) / (count(*) / 252) AS ann_turnover, sum(cost_fraction) / (count(*) / 252) AS ann_cost, pow(arg_max(wealth, date), 365.25 / date_diff('day', min(date), max(date))) - 1 AS cagr
   FROM (SELECT n.*, net_return - coalesce(rf, 0) AS x, wealth / greatest(max(wealth) OVER (PARTITION BY strategy, cost_bps ORDER BY n.date), 1) - 1 AS dd FROM nw n LEFT JOIN rf USING (date)) GROUP BY ALL),
-perf AS (SELECT p.*, -t.es AS es95, cagr / abs(max_drawdown) AS calmar FROM pf p JOIN (SELECT n.strategy, n.cost_bps, avg(net_return) AS es FROM net n JOIN pf USING (strategy, cost_bps) WHERE net_return <= -var95 GROUP BY ALL) t USING (strategy, cost_bps))"""
+perf AS (SELECT p.*, -t.es AS es95, -t.es9 AS es99, cagr / abs(max_drawdown) AS calmar FROM pf p JOIN (SELECT n.strategy, n.cost_bps, avg(net_return) FILTER (net_return <= -var95) AS es, avg(net_return) FILTER (net_return <= -var99) AS es9 FROM net n JOIN pf USING (strategy, cost_bps) GROUP BY ALL) t USING (strategy, cost_bps))"""
 WITH = BASE.rstrip() + PATH
 
 
@@ -122,7 +122,7 @@ def _(spark, d):
     return rf(spark, d)
 
 
-@query("performance_summary", "SELECT * FROM perf", "cost_bps final_wealth ann_vol sharpe sortino max_drawdown var95 ann_turnover ann_cost cagr es95 calmar", 5, WITH)
+@query("performance_summary", "SELECT * FROM perf", "cost_bps final_wealth ann_vol sharpe sortino max_drawdown var95 var99 years best_day worst_day positive_days_pct ann_turnover ann_cost cagr es95 es99 calmar", 5, WITH)
 def _(spark, d):
     return performance(spark, d)
 
