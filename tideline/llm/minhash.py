@@ -30,7 +30,7 @@ from .common import Scratch, held, table, text_of
 
 WORDS, LINK = 4, 0.8
 BANDS, ROWS, SMALL, BINS, BITS = 32, 4, 512, 512, 1024
-LOW, BUCKET = 0.70, 2048
+LOW, BUCKET = 0.70, 512
 BEST = (1, 8, None)
 U = np.uint64
 _rng = np.random.default_rng(20240229)
