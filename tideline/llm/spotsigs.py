@@ -79,11 +79,15 @@ def spotsigs(docs: DataFrame) -> DataFrame:
 def near_pairs(prints: DataFrame, scratch: Scratch, least: float = 0.8) -> DataFrame:
     """a, b (doc_id, a < b) and likeness of the pairs of different sets at ``least`` or more, among representatives
     (smallest doc_id) of equal fingerprints. Sets are dealt by length: one of n signatures can only match lengths from least * n,
-    a range spanning two classes of ratio 1 / least at most; and a match shares one of the first n - ceil(least * n) + 1 hashes."""
-    ones = scratch.save(prints.filter(F.size("signatures") > 0).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("signatures")).drop("fingerprint"), "sets")
+    a range spanning two classes of ratio 1 / least at most; and a match shares one of the first n - ceil(least * n) + 1 hashes in
+    any one order, here from the rarest on, so that common signatures pair few. Documents without an id take no part."""
+    ones = scratch.save(prints.filter("size(signatures) > 0 and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("signatures")).drop("fingerprint"), "sets")
     n = F.size("signatures")
     cls = F.floor(F.log(n.cast("double")) / F.lit(-math.log(least)) + 1e-9).cast("int")
-    prefix = ones.select("doc_id", cls.alias("cls"), F.explode(F.slice("signatures", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("h"))
+    each = ones.select("doc_id", F.explode("signatures").alias("h"))
+    ranked = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("met")), "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("met", "h"))).alias("signatures"))
+    prefix = ranked.select("doc_id", cls.alias("cls"), F.explode(F.slice("signatures", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("s")).select("doc_id", "cls", "s.h")
+    prefix = scratch.save(prefix, "prefixes")
     probe = prefix.withColumn("cls", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
     met = probe.alias("p").join(prefix.alias("q"), ["cls", "h"]).filter("p.doc_id <> q.doc_id")
     pairs = met.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
