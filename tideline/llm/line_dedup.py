@@ -32,9 +32,8 @@ KEY = ["id", "th"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """KEY, text and all columns as ``row``, so that no name can clash."""
-    doc_id, text = docs["doc_id"].cast("long"), docs["text"]
-    return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    """KEY and all columns as ``row``, so that no name can clash."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(docs["text"]).alias("th"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
 def digest(text):
@@ -45,7 +44,7 @@ def digest(text):
 def marked(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Per line that starts a full window: the fingerprint it selects (position and hash), and the window and its
     extensions to the right as ``ranges`` (last line, digest)."""
-    lines = keyed(docs).select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = keyed(docs).select(*KEY, F.posexplode(F.split("row.text", "\n", -1)).alias("pos", "line"))
     lines = lines.select(*KEY, "pos", F.unhex(digest(F.col("line").cast("binary"))).alias("hash"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("n")).filter("n > 0")
     lines = lines.dropDuplicates([*KEY, "pos"])
     by_doc = Window.partitionBy(*KEY)
@@ -92,10 +91,10 @@ def dedup(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """The documents with later repeated runs deleted from ``text``, and the count of removed lines, last, as removed_lines
     (with underscores added while the documents have that name)."""
     joined = keyed(docs).join(repeated_runs(docs, scratch, words), KEY, "left")
-    lines = F.split("text", "\n", -1)
+    lines = F.split("row.text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["a"], r["b"])) | ~x.rlike(WORD))
     joined = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    text = F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     removed = F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("kept")).cast("long")
     return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns], removed.alias(fresh(docs, "removed_lines")))
 
