@@ -7,6 +7,7 @@ import hashlib
 
 import numpy as np
 
+from tideline.operators import inference
 from tideline.plans import study
 
 N, REPS = 700, 30
@@ -65,3 +66,14 @@ def test_every_day_and_replicate(spark, monkeypatch):
     for k in (10, 63):
         values = [sharpe(b[i]) - sharpe(a[i]) for i in sources(k, N, REPS).values()]
         assert abs(block[k].bootstrap_sd - np.std(values, ddof=1)) < 1e-5
+
+
+def test_the_days_are_broadcast_not_the_draws(spark):
+    """A series that Spark takes for larger than the draws, which number reps * n all the same."""
+    day = dt.date(2020, 1, 1)
+    rows = spark.sparkContext.parallelize([(c, day + dt.timedelta(i), 0.01 * i, 0.02 * i, 0.01, 0.02) for c in "xy" for i in range(9)], 2).toDF("comparison string, date date, a double, b double, net_a double, net_b double")
+    for out in (inference.sharpe_draws(rows, 3, 40, 9), inference.draws(rows.filter("comparison = 'x'"), 3, 40, 9)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0], joins
+    assert inference.sharpe_draws(rows, 3, 40, 9).count() == 80

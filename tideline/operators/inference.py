@@ -22,7 +22,9 @@ def uniform(seed: int, rep: Column, pos: Column, stream: str) -> Column:
 
 
 def indices(spark, n: int, block: float, reps: int, seed: int = 12345) -> DataFrame:
-    """rep, pos, src: circular blocks that go on with probability 1 - 1 / block and otherwise start anywhere."""
+    """rep, pos, src: circular blocks that go on with probability 1 - 1 / block and otherwise start anywhere.
+
+    Spark takes its reps * n rows for reps ones and would broadcast them: a join names the other side, a row for each day, as the one to broadcast."""
     # replicates are dealt before their positions exist: blocks of replicates, and no position is shuffled
     dealt = spark.range(reps).select(F.col("id").alias("rep")).repartition(min(reps, BLOCKS), "rep")
     grid = dealt.select("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("pos"))
@@ -75,7 +77,7 @@ def legs(rows: DataFrame, order: str, *keys: str) -> DataFrame:
 def draws(paired: DataFrame, block: float, reps: int, n: int, seed: int = 12345) -> DataFrame:
     """rep, metric, value: differences of each metric on the same resampled dates. paired: date, a, b, net_a, net_b with n rows."""
     numbered = paired.select("a", "b", "net_a", "net_b", (F.row_number().over(Window.orderBy("date")) - 1).cast("bigint").alias("src"))
-    return legs(indices(paired.sparkSession, n, block, reps, seed).join(numbered, "src"), "pos", "rep")
+    return legs(indices(paired.sparkSession, n, block, reps, seed).join(F.broadcast(numbered), "src"), "pos", "rep")
 
 
 def observed(paired: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def sharpe_draws(series: DataFrame, block: float, reps: int, n: int, seed: int =
     series: comparison, date, a, b (excess), each comparison with the same n dates."""
     numbered = series.withColumn("src", (F.dense_rank().over(Window.orderBy("date")) - 1).cast("bigint"))
     by_day = numbered.groupBy("src").agg(F.collect_list(F.struct("comparison", "a", "b")).alias("x"))  # a few comparisons a day
-    sampled = indices(series.sparkSession, n, block, reps, seed).join(by_day, "src").select("rep", F.explode("x").alias("x")).select("rep", "x.*")
+    sampled = indices(series.sparkSession, n, block, reps, seed).join(F.broadcast(by_day), "src").select("rep", F.explode("x").alias("x")).select("rep", "x.*")
     return sampled.groupBy("comparison", "rep").agg((sharpe("b") - sharpe("a")).alias("value"))
 
 
