@@ -6,9 +6,11 @@ import datetime as dt
 import hashlib
 
 import numpy as np
+import pytest
 
-from tideline.operators import inference
+from tideline.operators import inference, portfolio
 from tideline.plans import study
+from tideline.sources import durable
 
 N, REPS = 700, 30
 
@@ -77,3 +79,44 @@ def test_the_days_are_broadcast_not_the_draws(spark):
         joins = [line for line in plan.splitlines() if "Join" in line]
         assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0], joins
     assert inference.sharpe_draws(rows, 3, 40, 9).count() == 80
+
+
+@pytest.fixture
+def legs(spark, monkeypatch):
+    """Net returns of every strategy, cost and specification on 60 days, for queries that start from them; keeps a list of what they write down."""
+    rng, day = np.random.default_rng(8), dt.date(2020, 1, 1)
+    days = [day + dt.timedelta(i) for i in range(60)]
+    x = {(spec.name, s): rng.normal(0.001, 0.01, 60) for spec in portfolio.GRID for s in ("window_lw", "regime_mixture")}
+    y = {(s, c): rng.normal(0.001, 0.01, 60) for s in portfolio.STRATEGIES for c in study.COSTS}
+    grid = spark.createDataFrame([(n, s, t, float(v[i])) for (n, s), v in x.items() for i, t in enumerate(days)], "specification string, strategy string, date date, net_return double")
+    ladder = spark.createDataFrame([(s, c, t, float(v[i])) for (s, c), v in y.items() for i, t in enumerate(days)], "strategy string, cost_bps double, date date, net_return double")
+    monkeypatch.setattr(study, "grid_net", lambda spark, d: grid)
+    monkeypatch.setattr(study, "ladder_net", lambda spark, d, costs: ladder)
+    monkeypatch.setattr(study, "rf", lambda spark, d: spark.createDataFrame([(t, 0.0) for t in days], "date date, rf double"))
+    monkeypatch.setattr(study, "DRAWS", REPS)
+    kept, keep = [], durable.keep
+    monkeypatch.setattr(durable, "keep", lambda df: kept.append(df) or keep(df))
+    return x, y, kept
+
+
+def drawn_side(kept) -> set[str]:
+    """Which side of their joins with the days the kept draws broadcast."""
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in kept if "rep" in df.columns]
+    return {line.split(", ")[-2] for plan in plans for line in plan.splitlines() if "BroadcastHashJoin [src" in line}
+
+def test_closing_checks_read_the_tests_once(spark, legs, monkeypatch):
+    kept, make, made = legs[2], study.grid_tests, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def counting(spark, d):
+        rows = make(spark, d)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(study, "grid_tests", counting)
+    checks = study.QUERIES["closing_checks"](spark, "").collect()
+    assert len(checks) == 12 and {r.check for r in checks if not r.ok} == {"one_comparator"}  # the legs here are drawn apart
+    assert made.value == 13 and drawn_side(kept) == {"BuildRight"}

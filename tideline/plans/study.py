@@ -526,7 +526,7 @@ def _(spark, d):
 @query("closing_checks")
 def _(spark, d):
     """Checks that must all hold before results are published."""
-    return portfolio.closing_checks(grid_tests(spark, d), grid_net(spark, d))
+    return portfolio.closing_checks(durable.keep(grid_tests(spark, d)), grid_net(spark, d))
 
 
 # -- reports, text, streams ---------------------------------------------------------------------------------
