@@ -120,3 +120,10 @@ def test_closing_checks_read_the_tests_once(spark, legs, monkeypatch):
     checks = study.QUERIES["closing_checks"](spark, "").collect()
     assert len(checks) == 12 and {r.check for r in checks if not r.ok} == {"one_comparator"}  # the legs here are drawn apart
     assert made.value == 13 and drawn_side(kept) == {"BuildRight"}
+
+def test_comparison_family_broadcasts_the_days(spark, legs):
+    _, y, kept = legs
+    got = {r.comparison: r.observed for r in study.QUERIES["comparison_family"](spark, "").collect()}
+    assert drawn_side(kept) == {"BuildRight"}
+    want = {f"{s} minus rolling_lw @{int(c)}": sharpe(v) - sharpe(y["rolling_lw", c]) for (s, c), v in y.items() if (c == 10) == (s != "regime_aware") and s != "rolling_lw" and (c == 10 or s == "regime_aware")}
+    assert got.keys() == want.keys() and len(got) == 7 and all(abs(got[k] - want[k]) < 2e-5 for k in want)
