@@ -127,3 +127,12 @@ def test_comparison_family_broadcasts_the_days(spark, legs):
     assert drawn_side(kept) == {"BuildRight"}
     want = {f"{s} minus rolling_lw @{int(c)}": sharpe(v) - sharpe(y["rolling_lw", c]) for (s, c), v in y.items() if (c == 10) == (s != "regime_aware") and s != "rolling_lw" and (c == 10 or s == "regime_aware")}
     assert got.keys() == want.keys() and len(got) == 7 and all(abs(got[k] - want[k]) < 2e-5 for k in want)
+
+def test_robustness_forest_broadcasts_the_days(spark, legs):
+    x, _, kept = legs
+    got = {r.ordinal: r for r in study.QUERIES["robustness_forest"](spark, "").collect()}
+    assert drawn_side(kept) == {"BuildRight"} and [got[i].specification for i in range(13)] == [s.name for s in portfolio.GRID]
+    i = list(sources(study.BLOCK, 60, REPS).values())
+    for row in got.values():
+        a, b = x[row.specification, "window_lw"], x[row.specification, "regime_mixture"]
+        assert np.allclose([row.ci_low, row.ci_high], np.quantile([sharpe(b[k]) - sharpe(a[k]) for k in i], [0.025, 0.975]), atol=2e-5)
