@@ -136,3 +136,13 @@ def test_robustness_forest_broadcasts_the_days(spark, legs):
     for row in got.values():
         a, b = x[row.specification, "window_lw"], x[row.specification, "regime_mixture"]
         assert np.allclose([row.ci_low, row.ci_high], np.quantile([sharpe(b[k]) - sharpe(a[k]) for k in i], [0.025, 0.975]), atol=2e-5)
+
+def test_grid_tests_broadcast_the_days(spark, legs):
+    x, _, kept = legs
+    got = {r.specification: r for r in study.QUERIES["grid_tests"](spark, "").collect()}
+    assert drawn_side(kept) == {"BuildRight"} and len(got) == 13
+    i = sources(study.BLOCK, 60, REPS).values()
+    for name, row in got.items():
+        a, b = x[name, "window_lw"], x[name, "regime_mixture"]
+        assert abs(row.observed - (sharpe(b) - sharpe(a))) < 2e-5 and row.n_evaluation_days == 60
+        assert abs(row.bootstrap_sd - np.std([sharpe(b[k]) - sharpe(a[k]) for k in i], ddof=1)) < 2e-5
