@@ -146,3 +146,39 @@ def test_short_documents_stay_whole():
         cost[g] = cost.get(g, 0) + sum(p[2] ** 2 for p in s)
         tokens[g] = tokens.get(g, 0) + tier
     assert max(cost.values()) < 1.1 * min(cost.values()) and max(tokens.values()) < 1.3 * min(tokens.values())
+
+
+def test_packing_worker_stays_small(spark, monkeypatch):
+    """A task that meets 624,000 words, in a process of its own: it holds no more than a part of them, and gives back what it no longer holds."""
+    import multiprocessing
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    rows = docs(spark)
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: f)
+    run = packing.pack(rows)
+    letters = "bcdfghklmnprstvz"
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [d], "text": [" ".join("".join(letters[i >> 4 * k & 15] for k in range(5)) for i in range(12_000 * d, 12_000 * d + 12_000))]}) for d in range(52)]
+
+    def own(out):
+        size = lambda: int(Path("/proc/self/status").read_text().split("RssAnon:")[1].split()[0]) / 1024
+        encoder(default_path())
+        before, ids, most = size(), 0, 0
+
+        def watched():
+            nonlocal most
+            for batch in batches:
+                yield batch
+                most = max(most, size() - before)
+
+        for batch in run(watched()):
+            ids += sum(len(x) // 4 for x in batch["ids"].to_pylist())
+        out.put((most, size() - before, ids))
+
+    out = multiprocessing.get_context("fork").Queue()
+    child = multiprocessing.get_context("fork").Process(target=own, args=(out,))
+    child.start()
+    most, end, ids = out.get(timeout=120)
+    child.join()
+    assert most < 70 and end < 50 and ids >= 52 * 12_001, (most, end, ids)

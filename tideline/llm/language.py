@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import held, table, tidy
 
 SAMPLE, SEGMENT, SLOTS = 400, 48, 1 << 18
 EPOCHS, BATCH, RATE = 6, 64, 0.6
@@ -288,7 +288,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     from pyspark.sql import types as T
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("switches", T.LongType())])
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

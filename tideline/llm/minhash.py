@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, table, text_of
+from .common import Scratch, held, table, text_of, tidy
 
 WORDS, LINK = 4, 0.8
 BANDS, ROWS, SMALL, BINS, BITS = 32, 4, 512, 512, 1024
@@ -129,7 +129,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], part["th"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(small, pa.binary()), pa.array(large, pa.binary())], names=["doc_id", "key", "th", "n_shingles", "cls", "buckets", "small", "large"])
 
-    return rows_of(docs).mapInArrow(run, "doc_id long, key long, th long, n_shingles long, cls binary, buckets array<long>, small binary, large binary")
+    return rows_of(docs).mapInArrow(tidy(run), "doc_id long, key long, th long, n_shingles long, cls binary, buckets array<long>, small binary, large binary")
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None,
 
     # a group has 2 * BUCKET rows or so at most
     dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "cls")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -266,7 +266,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame
 
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, tidy
 from .tokenize import default_path, encoder
 
 LENGTH = 2048
@@ -208,7 +208,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, length: int
             made, last = fill(open_pieces, length, sizes)
             yield from emit(made + [(sum(p[2] for p in s), s) for s in taper(last)], keys, parts)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from .common import held
 
 #: Chunks whose ids a worker keeps.
-CACHE = 700_000
+CACHE = 300_000
 #: Lower-case letters up to U+024F, all of category L: what the splitter keeps whole. Other scripts, numbers and signs go to the library.
 LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+")
 PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+[.,]")
@@ -82,8 +82,10 @@ class Encoder:
             else:
                 rest.append(w)
         if rest:
-            for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                cache[w] = pack(e.ids)
+            for i in range(0, len(rest), 4096):  # an encoding takes far more memory than its ids
+                some = rest[i : i + 4096]
+                for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    cache[w] = pack(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
