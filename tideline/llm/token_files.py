@@ -25,13 +25,15 @@ from .tokenize import default_path, encoder
 SEGMENT = 1 << 18
 #: Bytes of the input's files to a shard.
 SHARD = 64 << 20
+#: Chunks whose ids a worker keeps: more than in packing, as no other stage's memory counts beside it.
+CHUNKS = 700_000
 SEGMENTS = "shard int, segment int, n_ids long, doc_ids array<long>, lengths binary, image binary"
 PIECES = "shard int, segment int, doc_id long, before long, n_tokens long, ids binary"
 
 
 def encode_shards(docs: DataFrame, path: str, end_id: int, shards: int, percentile: float = 0.9) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, CHUNKS), np.array([end_id], "<u4").tobytes()
         shard, number = None, 0
         keys: list = []
         parts: list[bytes] = []

@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and never joins across it, so the ids of a text are the ids of
 its white-space-separated chunks in order. Chunks repeat, so each worker keeps the ids of those
-it has met, up to ``CACHE`` of them, and sends only new ones to the library.
+it has met, up to ``CACHE`` of them (or as many as the caller says), and sends only new ones to the library.
 """
 
 from __future__ import annotations
@@ -43,14 +43,14 @@ def default_path() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.most, self.cache = most, {}
         #: Heads of the added tokens, in any case that lowering could turn into one of them.
         self.added = {t.content[:1] + t.content[1:2] for t in self.tok.get_added_tokens_decoder().values()}
         #: By one letter run and one point or comma, ids are those of the two apart, if the file splits there.
@@ -67,7 +67,7 @@ class Encoder:
     def _learn(self, chunks: set[str], plain: bool) -> None:
         """plain: the chunks come from a lower-case text in NFC."""
         cache = self.cache
-        if len(cache) + len(chunks) > CACHE:
+        if len(cache) + len(chunks) > self.most:
             cache.clear()
         rest = []
         for w in chunks:
@@ -110,5 +110,5 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    return held(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, most: int = CACHE) -> Encoder:
+    return held(("encoder", path, most), lambda: Encoder(path, most))
